@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,17 @@ def run_lengths(values: Column | str) -> Column:
         F.sort_array(as_column(values)),
         lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(empty),
     )
+
+
+def explode_rows(df: DataFrame, keys: list, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """Explode a computed array without computing it twice.
+
+    A plain ``explode`` makes the optimizer add a "not empty" filter that evaluates the
+    array expression once more; the outer form does not, and its null rows are dropped
+    after the explosion.
+    """
+    if position is None:
+        rows = df.select(*keys, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*keys, F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())

@@ -148,4 +148,5 @@ def base_clean(text: Column | str, emoji_gap: bool = True, whole_word_lead: bool
     cleaned = strip_entities(strip_urls(cleaned))
     cleaned = strip_lead(lower_trim(cleaned), whole_word_lead)
     cleaned = strip_html_words(strip_clock(cleaned))
-    return squeeze_spaces(keep_letters(cleaned))
+    # keep_letters and squeeze_spaces in one pass: any run without letters is one space
+    return F.trim(F.regexp_replace(cleaned, "[^a-zA-Z]+", " "))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wartalens.functions.arrays import let
+from wartalens.functions.arrays import explode_rows, let
 from wartalens.operators.topics import topic_terms
 from wartalens.session import stage
 
@@ -120,7 +120,7 @@ def term_cooccurrence(
     least one of the terms; a document shorter than the window is one window.
     """
     column = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-    exploded = docs.select(F.inline(_document_cells(column, topics, window)))
+    exploded = explode_rows(docs, [], _document_cells(column, topics, window), "x").select("x.*")
     return exploded.groupBy("topic_id", "a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wartalens.functions.arrays import run_lengths
+from wartalens.functions.arrays import explode_rows, run_lengths
 
 KEEP_N = 100_000
 
@@ -16,7 +16,7 @@ def doc_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
     Repeats are counted inside the row, so one map-side combined aggregation does both.
     """
-    counted = docs.select(F.explode(run_lengths(tokens)).alias("x"))
+    counted = explode_rows(docs, [], run_lengths(tokens), "x")
     return counted.groupBy(F.col("x.term").alias("term")).agg(
         F.count("*").alias("df"), F.sum("x.tf").alias("cf")
     )
@@ -60,7 +60,7 @@ def doc2bow(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", tokens: str
     Counting happens in-row, so the only join is with the vocabulary. Its row bound
     (``keep_n``, or its stored size) tells Spark whether to broadcast it.
     """
-    counted = docs.select(key, F.inline(run_lengths(tokens)))
+    counted = explode_rows(docs, [key], run_lengths(tokens), "x").select(key, "x.term", "x.tf")
     return counted.join(vocab.select("term", "term_id"), "term").select(key, "term_id", "term", "tf")
 
 

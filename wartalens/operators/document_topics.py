@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wartalens.functions.arrays import as_column
+from wartalens.functions.arrays import as_column, explode_rows, let
 
 
 def ranked_topics(theta: Column | str) -> Column:
@@ -22,7 +22,7 @@ def ranked_topics(theta: Column | str) -> Column:
 
 def score_table(theta: DataFrame, key: str = "doc_id") -> DataFrame:
     """Full distribution per document, long form, with rank from 1."""
-    return theta.select(key, F.posexplode(ranked_topics("theta")).alias("pos", "x")).select(
+    return explode_rows(theta, [key], ranked_topics("theta"), "x", "pos").select(
         key, (F.col("pos") + 1).alias("rank"), F.col("x.topic_id").alias("topic_id"), F.col("x.prob").alias("prob")
     )
 
@@ -146,8 +146,6 @@ def document_top_words(
     Positions are grouped inside the row: sorting ``(token, position)`` puts repeats side
     by side, so counting needs no shuffle.
     """
-    from wartalens.functions.arrays import let
-
     def counted(s: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(0), F.size(s) - 1),
@@ -165,9 +163,7 @@ def document_top_words(
         return F.slice(F.sort_array(runs), 1, topn)
 
     placed = F.transform(tokens, lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-    ranked = docs.filter(F.size(tokens) >= min_tokens).select(
-        key, F.posexplode(let(F.sort_array(placed), counted)).alias("pos", "x")
-    )
-    return ranked.select(
+    words = let(F.sort_array(placed), lambda s: F.when(F.size(s) >= min_tokens, counted(s)))
+    return explode_rows(docs, [key], words, "x", "pos").select(
         key, (F.col("pos") + 1).alias("rank"), F.col("x.t").alias("term"), (-F.col("x.minus_n")).cast("long").alias("n")
     )

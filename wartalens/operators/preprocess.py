@@ -7,11 +7,12 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wartalens.functions.arrays import as_column
-from wartalens.functions.tokens import preprocess_text, remove_stopwords
-from wartalens.session import small_values
+from wartalens.functions.arrays import as_column, explode_rows
+from wartalens.functions.lookup import inline_map, inline_set
+from wartalens.functions.stemming import stem_word
+from wartalens.functions.tokens import preprocess_text
 
-INLINE_WORDS = 20_000         # word lists up to this length become a hash set in the plan
+INLINE_WORDS = 200_000        # word tables up to this length become a hash table in the plan
 
 
 def preprocess_documents(
@@ -38,36 +39,41 @@ def _rejoin(docs: DataFrame, tokens_by_pos: DataFrame, key: str, tokens: str) ->
 
 
 def remove_stopwords_table(
-    docs: DataFrame, stopwords: DataFrame, key: str = "doc_id", tokens: str = "tokens"
+    docs: DataFrame,
+    stopwords: DataFrame,
+    key: str = "doc_id",
+    tokens: str = "tokens",
+    inline_limit: int = INLINE_WORDS,
 ) -> DataFrame:
     """Drop words of a one-column table: in-row if the table is short, else an anti join."""
-    words = small_values(stopwords, INLINE_WORDS)
-    if words is not None:
-        return docs.withColumn(tokens, remove_stopwords(tokens, words))
     named = stopwords.toDF("term")
-    kept = docs.select(key, F.posexplode(tokens).alias("pos", "term")).join(named, "term", "left_anti")
+    is_stopword = inline_set(named, inline_limit)
+    if is_stopword is not None:
+        return docs.withColumn(tokens, F.filter(tokens, lambda t: ~is_stopword(t)))
+    kept = explode_rows(docs, [key], F.col(tokens), "term", "pos").join(named, "term", "left_anti")
     return _rejoin(docs, kept, key, tokens)
 
 
 def stem_with_table(
-    docs: DataFrame, stem_map: DataFrame, key: str = "doc_id", tokens: str = "tokens"
+    docs: DataFrame,
+    stem_map: DataFrame,
+    key: str = "doc_id",
+    tokens: str = "tokens",
+    inline_limit: int = INLINE_WORDS,
 ) -> DataFrame:
-    """Replace tokens by a user's ``(token, stem)`` table of any size; others stay.
-
-    Only tokens that occur in the table are joined back, as per-document lists.
-    """
-    table = stem_map.select(F.col("token").alias("term"), F.col("stem"))
-    changed = (
-        docs.select(key, F.posexplode(tokens).alias("pos", "term"))
-        .join(table, "term", "left")
-        .select(key, "pos", F.coalesce("stem", "term").alias("term"))
+    """Stem by a user's ``(token, stem)`` table; tokens it lacks get the rule-based stem."""
+    named = stem_map.select("token", "stem")
+    lookup = inline_map(named, inline_limit)
+    if lookup is not None:
+        return docs.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(lookup(t), stem_word(t))))
+    stemmed = (
+        explode_rows(docs, [key], F.col(tokens), "token", "pos").join(named, "token", "left")
+        .select(key, "pos", F.coalesce("stem", stem_word("token")).alias("term"))
     )
-    return _rejoin(docs, changed, key, tokens)
+    return _rejoin(docs, stemmed, key, tokens)
 
 
 def distinct_stems(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct tokens with their rule-based stem: the table a user edits into a ``stem_map``."""
-    from wartalens.functions.stemming import stem_word
-
-    distinct = docs.select(F.explode(F.array_distinct(as_column(tokens))).alias("token")).distinct()
+    distinct = explode_rows(docs, [], F.array_distinct(as_column(tokens)), "token").distinct()
     return distinct.select("token", stem_word("token").alias("stem"))

@@ -85,12 +85,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_values(df: DataFrame, limit: int) -> list | None:
-    """Values of a one-column table if it has at most ``limit`` rows, else None."""
-    rows = df.take(limit + 1)
-    return None if len(rows) > limit else [row[0] for row in rows]
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint behind a row-count check; beyond it the join stays a shuffle join."""
     if df.limit(max_rows + 1).count() <= max_rows:

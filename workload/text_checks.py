@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wartalens.functions import text, tokens
 from wartalens.operators import dictionary, phrases
-from wartalens.operators.preprocess import remove_stopwords_table
+from wartalens.operators.preprocess import distinct_stems, remove_stopwords_table
 from wartalens.session import stage
 from wartalens.sources.stopwords import stopword_table
 from workload import sql, views
@@ -67,8 +67,7 @@ distinct_tokens AS (SELECT DISTINCT unnest(tokens) AS token FROM tokenised)"""
 @check("stem_tokens", sql.with_(VOCABULARY, f"SELECT token, {sql.stem('token')} AS stem FROM distinct_tokens"))
 def _stem_tokens(spark, sf):
     docs = views.articles(spark, sf).select(tokens.tokenize(text.base_clean("content")).alias("tokens"))
-    distinct = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
-    return distinct.select("token", F.get(tokens.stem_tokens(F.array("token")), F.lit(0)).alias("stem"))
+    return distinct_stems(docs)
 
 
 PROTECTED = ["memperjuangkan", "thering", "anding", "pation"]
@@ -79,7 +78,7 @@ SELECT token, CASE WHEN token IN {sql.words(PROTECTED)} THEN token ELSE {sql.ste
 FROM distinct_tokens"""))
 def _protect_words(spark, sf):
     docs = views.articles(spark, sf).select(tokens.tokenize(text.base_clean("content")).alias("tokens"))
-    distinct = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    distinct = distinct_stems(docs).select("token")
     kept = tokens.stem_tokens(F.array("token"), protected=PROTECTED)
     return distinct.select("token", F.get(kept, F.lit(0)).alias("stem"))
 
