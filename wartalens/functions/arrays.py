@@ -21,8 +21,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def adjacent_pairs(tokens: Column | str, delimiter: str = "_") -> Column:
-    """``[a, b, c]`` -> ``[a_b, b_c]``."""
+def adjacent_pairs(tokens: Column | str, delimiter: str = " ") -> Column:
+    """``[a, b, c]`` -> ``["a b", "b c"]``."""
     def pairs(t: Column) -> Column:
         n = F.greatest(F.size(t) - 1, F.lit(0))
         return F.zip_with(
@@ -55,10 +55,12 @@ def merge_marked(tokens: Column | str, marks: Column, delimiter: str = "_") -> C
     return let(as_column(tokens), merged)
 
 
-def merge_pairs(tokens: Column | str, is_phrase: Callable[[Column], Column], delimiter: str = "_") -> Column:
-    """Join adjacent tokens whose joined form passes ``is_phrase``."""
+def merge_pairs(
+    tokens: Column | str, is_phrase: Callable[[Column], Column], separator: str = " ", delimiter: str = "_"
+) -> Column:
+    """Join adjacent tokens whose pair (``left separator right``) passes ``is_phrase``."""
     def merged(t: Column) -> Column:
-        marks = F.transform(adjacent_pairs(t, delimiter), lambda p: F.when(is_phrase(p), "1").otherwise("0"))
+        marks = F.transform(adjacent_pairs(t, separator), lambda p: F.when(is_phrase(p), "1").otherwise("0"))
         return merge_marked(t, F.concat(F.array_join(marks, ""), F.lit("0")), delimiter)
 
     return let(as_column(tokens), merged)

@@ -23,7 +23,7 @@ def asymmetric_prior(k: int) -> list[float]:
 
 def training_vectors(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pin the row layout: online LDA draws mini-batches by partition and position."""
-    partitions = vectors.sparkSession.sparkContext.defaultParallelism
+    partitions = 2 * vectors.sparkSession.sparkContext.defaultParallelism
     return vectors.select(key, "features").repartition(partitions, key).sortWithinPartitions(key)
 
 

@@ -153,14 +153,13 @@ def counted(prefix: str, source: str) -> str:
 {prefix}counts AS MATERIALIZED (
   SELECT ngram, count(*) AS n FROM (
     SELECT term AS ngram FROM {source} UNION ALL
-    SELECT term || '_' || following FROM {prefix}pairs WHERE following IS NOT NULL) GROUP BY ngram),
+    SELECT term || ' ' || following FROM {prefix}pairs WHERE following IS NOT NULL) GROUP BY ngram),
 {prefix}scored AS (
-  SELECT p.ngram AS phrase, split_part(p.ngram, '_', 1) AS head, split_part(p.ngram, '_', -1) AS tail,
-    p.n AS n_ab, a.n AS n_a, b.n AS n_b,
+  SELECT a.ngram AS left_word, b.ngram AS right_word, p.n AS n_ab, a.n AS n_a, b.n AS n_b,
     (p.n - 10) / a.n / b.n * (SELECT count(*) FROM {prefix}counts) AS score
-  FROM {prefix}counts p JOIN {prefix}counts a ON a.ngram = split_part(p.ngram, '_', 1)
-    JOIN {prefix}counts b ON b.ngram = split_part(p.ngram, '_', -1)
-  WHERE contains(p.ngram, '_')),
+  FROM {prefix}counts p JOIN {prefix}counts a ON a.ngram = split_part(p.ngram, ' ', 1)
+    JOIN {prefix}counts b ON b.ngram = split_part(p.ngram, ' ', 2)
+  WHERE contains(p.ngram, ' ')),
 {prefix}phrases AS MATERIALIZED (SELECT * FROM {prefix}scored WHERE score > 10)"""
 
 
@@ -169,7 +168,8 @@ def merged(prefix: str, source: str, phrases: str, target: str) -> str:
     return f"""{prefix}next AS (
   SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM {source}),
 {prefix}marked AS (
-  SELECT n.*, n.term || '_' || n.following IN (SELECT phrase FROM {phrases}) AS is_mark FROM {prefix}next n),
+  SELECT n.*, p.left_word IS NOT NULL AS is_mark
+  FROM {prefix}next n LEFT JOIN {phrases} p ON p.left_word = n.term AND p.right_word = n.following),
 {prefix}runs AS (
   SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run
   FROM {prefix}marked WHERE is_mark),

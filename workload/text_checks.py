@@ -96,7 +96,7 @@ def _ngram_counts(spark, sf):
     return phrases.ngram_counts(views.docs(spark, sf))
 
 
-SCORED = "SELECT phrase, head, tail, n_ab, n_a, n_b, round(score, 6) AS score FROM {}"
+SCORED = "SELECT left_word, right_word, n_ab, n_a, n_b, round(score, 6) AS score FROM {}"
 
 
 @check("score_phrases", sql.with_(COUNTED, SCORED.format("bi_phrases")))
