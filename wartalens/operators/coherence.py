@@ -188,7 +188,10 @@ def coherence_of_lists(
     docs: DataFrame, topics: dict[int, list[str]], measure: str = "c_v", window: int | None = None
 ) -> DataFrame:
     width = None if measure == "u_mass" else (window or WINDOWS[measure])
-    grid = _pair_grid(docs, topics, width)
+    return _measured(_pair_grid(docs, topics, width), measure)
+
+
+def _measured(grid: DataFrame, measure: str) -> DataFrame:
     if measure == "u_mass":
         value = F.log((F.col("p_ab") + F.lit(EPSILON)) / F.col("p_b"))
         scored = grid.filter("rank_b < rank_a").withColumn("value", F.when(F.col("p_b") > 0, value).otherwise(0.0))
@@ -223,3 +226,17 @@ def _context_cosines(grid: DataFrame) -> DataFrame:
 def coherence(docs: DataFrame, phi: DataFrame, measure: str = "c_v", topn: int = TOP_TERMS) -> DataFrame:
     """One row: the mean of the topic coherences."""
     return coherence_by_topic(docs, phi, measure, topn).agg(F.avg("coherence").alias("coherence"))
+
+
+def coherence_all(docs: DataFrame, phi: DataFrame, topn: int = TOP_TERMS) -> DataFrame:
+    """One row with ``c_v``, ``c_uci``, ``c_npmi`` and ``u_mass``; measures of one window share a pass."""
+    topics = top_term_lists(phi, topn)
+    grids: dict[int | None, DataFrame] = {}
+    values = []
+    for measure in ("c_v", "c_uci", "c_npmi", "u_mass"):
+        width = WINDOWS.get(measure)
+        if width not in grids:
+            grids[width] = _pair_grid(docs, topics, width)
+        mean = _measured(grids[width], measure).agg(F.avg("coherence"))
+        values.append(mean.scalar().alias(f"coherence_{measure}"))
+    return docs.sparkSession.range(1).select(*values)

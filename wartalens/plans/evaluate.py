@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wartalens.operators import corpus_stats, document_topics, topics
-from wartalens.operators.coherence import coherence
+from wartalens.operators.coherence import coherence_all
 from wartalens.operators.dictionary import bow_vectors, vocabulary_terms
 from wartalens.operators.lda import perplexity, phi_table, theta_table
 from wartalens.operators.phrases import apply_phrases
@@ -16,9 +16,6 @@ from wartalens.operators.preprocess import preprocess_documents
 from wartalens.session import stage
 from wartalens.sources.tables import ModelStore
 
-MEASURES = ("c_v", "c_uci", "c_npmi", "u_mass")
-
-
 def rebuild_corpus(articles: DataFrame, store: ModelStore, key: str = "article_id") -> DataFrame:
     """Tokens of raw articles by the stored stopwords and phrase tables; null content is empty."""
     words = [row["word"] for row in store.table("stopwords").collect()]
@@ -37,7 +34,7 @@ def model_metrics(docs: DataFrame, phi: DataFrame, vocab: DataFrame, extra: list
     parts = [
         phi.agg(F.countDistinct("topic_id").alias("num_topics")),
         vocab.agg(F.count("*").alias("vocabulary_size")),
-        *[coherence(docs, phi, m).withColumnRenamed("coherence", f"coherence_{m}") for m in MEASURES],
+        coherence_all(docs, phi),
         topics.topic_diversity(phi),
         topics.topic_similarity(phi),
         topics.topic_specialization(phi),

@@ -145,7 +145,11 @@ def _doc2bow(spark, sf):
     return dictionary.doc2bow(docs, stage(dictionary.build_dictionary(docs), "vocab"))
 
 
-@check("bow_vectors")
+@check("bow_vectors", sql.with_(sql.DOCS + ",\n" + sql.BOW, """
+SELECT d.doc_id, '(' || (SELECT count(*) FROM vocab) || ',[' || coalesce(ids, '') || '],[' || coalesce(counts, '') || '])' AS features
+FROM docs d LEFT JOIN (
+  SELECT doc_id, string_agg(term_id, ',' ORDER BY term_id) AS ids, string_agg(tf || '.0', ',' ORDER BY term_id) AS counts
+  FROM bow GROUP BY doc_id) USING (doc_id)"""))
 def _bow_vectors(spark, sf):
     docs = views.staged_docs(spark, sf)
     vocab = stage(dictionary.build_dictionary(docs), "vocab")

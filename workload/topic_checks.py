@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wartalens.operators import coherence, corpus_stats, document_topics, relevance, topics
-from wartalens.session import stage
+from wartalens.session import new_path, stage
+from wartalens.sources.tables import write_tables
 from workload import sql, views
 from workload.registry import check
 
@@ -282,3 +286,32 @@ SELECT grid_pos, "K", round(coherence_cv, 6) AS coherence_cv,
   row_number() OVER (ORDER BY coherence_cv DESC, "K", grid_pos) = 1 AS is_best FROM report"""))
 def _by_k(spark, sf):
     return corpus_stats.coherence_by_k(grid_report(spark, sf))
+
+
+@check("write_tables", sql.with_(sql.THETA, f"""
+SELECT 'topic_terms' AS table_name, count(*) AS n_rows FROM ranked WHERE rank <= 20
+UNION ALL SELECT 'topic_statistics', count(DISTINCT topic_id) FROM phi
+UNION ALL SELECT 'dominant_topics', count(DISTINCT topic_id) FROM dominant
+UNION ALL SELECT 'avg_topic_probabilities', count(*) FROM ({MEANS})
+UNION ALL SELECT 'temporal_topic_trends', count(DISTINCT strftime(released, '%Y-%m')) FROM dominant JOIN articles ON article_id = doc_id
+UNION ALL SELECT 'coherence_report', count(DISTINCT source) FROM documents"""))
+def _write_tables(spark, sf):
+    model = views.Surrogate(spark, sf)
+    theta = model.staged_theta
+    dates = views.articles(spark, sf).select(F.col("article_id").alias("doc_id"), "released")
+    paths = write_tables(
+        {
+            "topic_terms": topics.topic_terms(model.phi),
+            "topic_statistics": topics.topic_statistics(model.phi),
+            "dominant_topics": document_topics.dominant_topic_counts(theta),
+            "avg_topic_probabilities": document_topics.avg_topic_probability(theta),
+            "temporal_topic_trends": document_topics.temporal_topic_trends(theta, dates, model.n_topics),
+            "coherence_report": grid_report(spark, sf),
+        },
+        new_path(spark, "tables"), "csv",
+    )
+    counts = [
+        spark.read.csv(path, header=True).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
