@@ -10,6 +10,8 @@ it, and windows with both a and b number |a| + |b| - |a or b|.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +136,12 @@ def top_term_lists(phi: DataFrame, topn: int = TOP_TERMS) -> dict[int, list[str]
 
 
 def _ranked_terms(docs: DataFrame, topics: dict[int, list[str]]) -> DataFrame:
-    rows = [(k, i + 1, term) for k, terms in topics.items() for i, term in enumerate(terms)]
-    return docs.sparkSession.createDataFrame(rows, "topic_id int, rank int, term string")
+    """``(topic_id, rank, term)`` from a literal, so that Spark knows how small it is."""
+    rows = [
+        {"topic_id": k, "rank": i + 1, "term": term} for k, terms in topics.items() for i, term in enumerate(terms)
+    ]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<topic_id:int,rank:int,term:string>>")
+    return docs.sparkSession.range(1).select(F.inline(listed))
 
 
 def _pair_grid(docs: DataFrame, topics: dict[int, list[str]], window: int | None) -> DataFrame:
