@@ -54,6 +54,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+_local_work: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -64,9 +67,9 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="wartalens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _local_work:
+        _local_work["folder"] = tempfile.mkdtemp(prefix="wartalens-")
+    return _local_work["folder"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
