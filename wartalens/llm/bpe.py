@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wartalens.llm.common import bounded_batches, quoted
+from wartalens.llm.common import prepare_python, quoted
 
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECES = (
@@ -262,7 +262,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
     null key stay as they are; other columns are not read. ``path`` names the vocabulary file on
     every machine. No shuffle; memory is bounded by the batch and the tables of pieces.
     """
-    bounded_batches(docs.sparkSession, 1000)
+    prepare_python(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = tools(path)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +19,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch to ``rows`` documents, so that a batch of long texts stays small."""
+_shipped: set[str] = set()
+
+
+def prepare_python(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Make executors ready for this package's Python functions.
+
+    Ships the package's source once per application, as executors need not have it installed, and
+    lowers the session's Arrow batch to ``rows`` documents, so that a batch of long texts stays small.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="source-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wartalens.llm import bpe, sharding, token_files
+from wartalens.llm import bpe, decontaminate, quality_rules, sharding, token_files
 from wartalens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_prefix_sum_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("found", decontaminate.scan_column(docs, read(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("found")).alias("contaminated"),
+    )
+
+
+@query("op10_quality_decision_list")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wartalens.llm.bpe import REMEMBERED_CUTS, WHITE, Memory
-from wartalens.llm.common import bounded_batches, quoted
+from wartalens.llm.common import prepare_python, quoted
 from wartalens.session import new_path, stage
 
 READ_DOCS = 4096                      # documents per batch on reading back
@@ -115,7 +115,7 @@ def write_token_files(
     table gives an empty manifest. Ranges are cut on key, text hash and row, so one key may hold any
     share of the rows. The driver sees no row of it.
     """
-    bounded_batches(docs.sparkSession, 1000)
+    prepare_python(docs.sparkSession, 1000)
     kind = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
