@@ -16,6 +16,9 @@ table of bounded size.
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ PIECES = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
     rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
+LETTERS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch     # surely one piece
+WHITE_SPACE = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
 REMEMBERED_CUTS = 200_000             # entries of one generation of a memory; two generations live
 REMEMBERED_PIECES = 100_000
 
@@ -59,6 +64,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def space_ends(cut: str) -> bool:
+    """Empty, or white space at an end: such a piece may not be looked at alone."""
+    return not cut or cut[0] in WHITE_SPACE or cut[-1] in WHITE_SPACE
+
+
 class Vocabulary:
     """Token bytes, merge ranks and special tokens of a byte-level BPE file."""
 
@@ -107,9 +125,8 @@ class Encoder:
                     break
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces = regex.compile(PIECES).findall
-        self.space_ends = regex.compile(rf"^[{WHITE}]|[{WHITE}]$").search
         self.specials = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
-        self.of_piece = Memory(lambda piece: np.asarray(self.encode_piece(piece.encode()), dtype="<u4").tobytes(), REMEMBERED_PIECES)
+        self.of_piece = Memory(lambda piece: packed(self.encode_piece(piece.encode())), REMEMBERED_PIECES)
         self.of_cut = Memory(self._cut, REMEMBERED_CUTS)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -190,13 +207,15 @@ class Encoder:
 
     def _cut(self, cut: str) -> bytes:
         """Ids of a piece after a space; empty if it has white space at an end (see ``_plain``)."""
-        if not cut or self.space_ends(cut):
+        if space_ends(cut):
             return b""
+        if LETTERS(cut):
+            return packed(self.encode_piece(b" " + cut.encode()))
         return b"".join(map(self.of_piece.__getitem__, self.pieces(" " + cut)))
 
     def _plain(self, text: str) -> bytes:
         first, *cuts = text.split(" ")
-        if first and not self.space_ends(first):
+        if not space_ends(first):
             found = list(map(self.of_cut.__getitem__, cuts))
             if all(found):
                 return b"".join([*map(self.of_piece.__getitem__, self.pieces(first)), *found])

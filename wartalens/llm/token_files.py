@@ -10,6 +10,7 @@ memory-mapped by readers.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wartalens.llm.bpe import REMEMBERED_CUTS, WHITE, Memory
+from wartalens.llm.bpe import LETTERS, PIECES, REMEMBERED_CUTS, REMEMBERED_PIECES, Memory, byte_letters, packed, space_ends
 from wartalens.llm.common import prepare_python, quoted
 from wartalens.session import new_path, stage
 
@@ -37,9 +38,9 @@ class LibraryEncoder:
     """Ids from the ``tokenizers`` library.
 
     A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer
-    without added prefix space always cuts too; ids of a cut are remembered (bounded), so the
-    library sees every frequent word once. Texts with other white space around spaces, or with
-    text of a special token, go to the library whole.
+    without added prefix space always cuts too. Pre-tokens of a cut go to
+    the library's model, and ids of cuts are remembered (bounded). Texts with other white space around spaces, or with
+    text of a special token, go to the library whole, as do all texts for tokenizers of another kind.
     """
 
     def __init__(self, path: str):
@@ -50,22 +51,37 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        parts = json.loads(self.library.to_str())
+        self.byte_level = parts["normalizer"] is None and parts["post_processor"] is None and parts["model"]["type"] == "BPE" and (
+            parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, added))).search if added else lambda _: None
-        self.space_ends = regex.compile(rf"^[{WHITE}]|[{WHITE}]$").search
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.model = self.library.model
+        self.pieces = regex.compile(PIECES).findall
+        self.of_piece = Memory(self._piece, REMEMBERED_PIECES)
         self.of_cut = Memory(self._cut, REMEMBERED_CUTS)
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _cut(self, cut: str) -> bytes:
-        return b"" if not cut or self.space_ends(cut) else self._ids(" " + cut)
+        if space_ends(cut):
+            return b""
+        if LETTERS(cut):
+            return self._piece(" " + cut)
+        return b"".join(map(self.of_piece.__getitem__, self.pieces(" " + cut)))
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, from the library's model."""
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return packed([token.id for token in self.model.tokenize(spelled)])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
         first, *cuts = text.split(" ")
-        if first and not self.space_ends(first) and not self.special(text):
+        if self.byte_level and not space_ends(first) and not self.special(text):
             found = list(map(self.of_cut.__getitem__, cuts))
             if all(found):
                 return np.frombuffer(b"".join([self._ids(first), *found]), "<u4")
