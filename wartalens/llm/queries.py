@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wartalens.llm import bpe, decontaminate, quality_rules, sharding, token_files
+from wartalens.llm import bpe, decontaminate, language_id, minhash_dedup, quality_rules, sharding, token_files, toxicity
 from wartalens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_decision_list")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_hyperdimensional_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.fit(language_id.learnable(docs)))
+
+
+@query("op7_toxicity_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_odd_sketch_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link(read(spark, sf_dir, "documents"))
