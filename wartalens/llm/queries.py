@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wartalens.llm import bpe, decontaminate, language_id, minhash_dedup, quality_rules, sharding, token_files, toxicity
+from wartalens.llm import bpe, decontaminate, language_id, minhash_dedup, quality_rules, quote_links, sharding, token_counts, token_files, toxicity
 from wartalens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_odd_sketch_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.link(read(spark, sf_dir, "documents"))
+
+
+@query("op1_trie_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def quoting_messages(turns: DataFrame) -> DataFrame:
+    """Mail-like messages from turns: each quotes the turn before it, and below that the turn it answered."""
+    said = turns.select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("msg_id"), F.coalesce("text", F.lit("")).alias("text"))
+    back = lambda n: said.select((F.col("msg_id") + n).alias("msg_id"), F.col("text").alias(f"_{n}"))
+    marked = lambda column, marks: F.concat(F.regexp_replace(column, "(?m)^", marks), F.lit("\n"))
+    return said.join(back(1), "msg_id", "left").join(back(2), "msg_id", "left").select("msg_id", F.concat(
+        F.coalesce(marked(F.col("_1"), "> "), F.lit("")), F.coalesce(marked(F.col("_2"), ">> "), F.lit("")), "text",
+    ).alias("text"))
+
+
+CONVERSATIONS_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id * 1000000 + turn AS msg_id,
+         regexp_replace(coalesce(text, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS body
+  FROM conversations),
+hashed AS (
+  SELECT msg_id, body, CASE WHEN body <> '' THEN
+    md5(regexp_replace(lower(regexp_replace(body, '[ \t\r\n]+', ' ', 'g')), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) END AS h
+  FROM said),
+firsts AS (SELECT h, min(msg_id) AS first FROM hashed WHERE h IS NOT NULL GROUP BY h),
+quotes AS (
+  SELECT a.msg_id, n.back AS level, f.first, q.h IS NOT NULL AS quoted
+  FROM hashed a CROSS JOIN (VALUES (1), (2)) n(back)
+  JOIN hashed q ON q.msg_id = a.msg_id - n.back LEFT JOIN firsts f ON f.h = q.h),
+links AS (
+  SELECT msg_id, arg_min(first, level) AS parent_id FROM quotes WHERE first < msg_id GROUP BY msg_id),
+reach AS (
+  SELECT h.msg_id, h.msg_id AS root_id, 0 AS depth FROM hashed h ANTI JOIN links l USING (msg_id)
+  UNION ALL
+  SELECT l.msg_id, r.root_id, r.depth + 1 FROM links l JOIN reach r ON r.msg_id = l.parent_id),
+n AS (SELECT msg_id, count(*) FILTER (quoted) AS n_passages FROM quotes GROUP BY msg_id)
+SELECT r.root_id, row_number() OVER (PARTITION BY r.root_id ORDER BY r.depth, r.msg_id) - 1 AS position,
+       r.msg_id, l.parent_id, r.depth::BIGINT AS depth, coalesce(n.n_passages, 0) AS n_passages, h.body
+FROM reach r JOIN hashed h USING (msg_id) LEFT JOIN links l USING (msg_id) LEFT JOIN n USING (msg_id)
+"""
+
+
+@query("op3_quotation_links", CONVERSATIONS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.conversations(quoting_messages(read(spark, sf_dir, "conversations")))
