@@ -134,8 +134,8 @@ def scan_column(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
                         more, items = windows.scan(w)
                         spans[i] += more
                         hit[i] |= items
-                if only is None:
-                    block.unpersist()
+                if only is None:                        # one block in memory at a time; it is read again from local disk
+                    vars(block).pop("_value", None)
             whole = [merged(s) for s in spans]
             yield pd.DataFrame({
                 "n_words": [len(w) for w in words],
