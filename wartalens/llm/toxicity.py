@@ -76,45 +76,52 @@ class BlockMaxIndex:
     def __init__(self, rows: list[tuple[tuple[int, ...], tuple[float, ...]]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(rows), block
         self.n_blocks = -(-len(rows) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, (numbers, weights) in enumerate(rows):
-            for t, w in zip(numbers, weights, strict=True):
-                postings[t].append((i, w))
-        self.ids = [np.asarray([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.asarray([w for _, w in p]) for p in postings]
-        self.blocks, self.starts, self.most = [], [], []
-        for ids, weights in zip(self.ids, self.weights, strict=True):
-            numbers, first = np.unique(ids // block, return_index=True)
-            self.blocks.append(numbers)
-            self.starts.append(np.append(first, len(ids)))
-            self.most.append(np.maximum.reduceat(weights, first) if len(ids) else weights)
+        sizes = [len(numbers) for numbers, _ in rows]
+        terms = np.fromiter((t for numbers, _ in rows for t in numbers), np.int64, sum(sizes))
+        weights = np.fromiter((w for _, own in rows for w in own), np.float64, sum(sizes))
+        examples = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((examples, terms))
+        self.ids, self.weights = examples[order], weights[order]
+        # postings lie by term and example; a cell is the part of a term's list inside one block
+        cells = terms[order] * self.n_blocks + self.ids // block
+        self.starts = np.searchsorted(cells, np.arange(n_terms * self.n_blocks + 1))
+        most = np.zeros(n_terms * self.n_blocks)
+        np.maximum.at(most, cells, self.weights)
+        self.most = most.reshape(n_terms, self.n_blocks)
         self.opened = 0
 
+    def _open(self, numbers: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the ``chosen`` blocks with a score, and their scores."""
+        cells = (numbers[:, None] * self.n_blocks + chosen).ravel()
+        low = self.starts[cells]
+        sizes = self.starts[cells + 1] - low
+        place = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        share = np.repeat(np.repeat(weights, len(chosen)), sizes) * self.weights[place]
+        score = np.bincount(self.ids[place], share, self.n)
+        found = np.flatnonzero(score)
+        return found, np.round(score[found], 9)
+
     def search(self, numbers: tuple[int, ...], weights: tuple[float, ...], k: int) -> list[tuple[float, int]]:
         """The ``k`` best ``(score, example)`` with a score above 0, ties by example number."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(numbers, weights, strict=True):
-            bound[self.blocks[t]] += w * self.most[t]
+        terms, own = np.asarray(numbers, np.int64), np.asarray(weights, np.float64)
+        bound = own @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        at, step = 0, 2
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best) == k and bound[order[at]] < best[-1][0] - 1e-12:
+        bound = bound[order]
+        ids, scores = np.empty(0, np.int64), np.empty(0)
+        at, step, end = 0, 4, int(np.count_nonzero(bound > 0))
+        while at < end:
+            if len(ids) == k:              # a block whose bound is below the k-th score can't change the result
+                end = at + int(np.count_nonzero(bound[at:end] >= scores[-1] - 1e-9))
+            chosen = order[at:min(at + step, end)]
+            if not len(chosen):
                 break
-            chosen = order[at:at + step]
-            score = np.zeros((len(chosen), self.block))
-            for t, w in zip(numbers, weights, strict=True):
-                place = np.searchsorted(self.blocks[t], chosen)
-                for row, p in enumerate(place):
-                    if p < len(self.blocks[t]) and self.blocks[t][p] == chosen[row]:
-                        low, high = self.starts[t][p], self.starts[t][p + 1]
-                        score[row, self.ids[t][low:high] - chosen[row] * self.block] += w * self.weights[t][low:high]
-            row, column = np.nonzero(score)
-            best += [(round(s, 9), int(i)) for s, i in zip(score[row, column].tolist(), chosen[row] * self.block + column)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+            more, worth = self._open(terms, own, chosen)
+            ids, scores = np.append(ids, more), np.append(scores, worth)
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
             self.opened += len(chosen)
             at, step = at + step, step * 2
-        return best
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
 class Scorer:
