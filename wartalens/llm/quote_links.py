@@ -9,6 +9,8 @@ and the messages of a root are numbered in reply order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,17 +76,23 @@ def parents(parsed: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """``msg_id, root_id, depth`` of linked messages; every jump doubles the reach and is written out."""
-    reach = stage(links.select("msg_id", F.col("parent_id").alias("root_id"), F.lit(1).cast("bigint").alias("depth")), "reach")
+    """``msg_id, root_id, depth`` of linked messages.
+
+    Every jump doubles the reach and is written out; messages that have arrived at their root stay
+    where they are, as targets, and only the others jump again.
+    """
+    moving = stage(links.select("msg_id", F.col("parent_id").alias("root_id"), F.lit(1).cast("bigint").alias("depth")), "reach")
+    arrived: list[DataFrame] = []
     while True:
-        ahead = reach.select(F.col("msg_id").alias("_at"), F.col("root_id").alias("_root"), F.col("depth").alias("_more"))
-        after = reach.join(ahead, reach["root_id"] == ahead["_at"], "left").select(
+        ahead = reduce(DataFrame.unionByName, [*arrived, moving]).select(
+            F.col("msg_id").alias("_at"), F.col("root_id").alias("_root"), F.col("depth").alias("_more"))
+        after = stage(moving.join(ahead, F.col("root_id") == F.col("_at"), "left").select(
             "msg_id", F.coalesce("_root", "root_id").alias("root_id"),
-            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("_moved"))
-        after = stage(after, "reach")
-        if after.filter("_moved").isEmpty():
-            return after.drop("_moved")
-        reach = after.drop("_moved")
+            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("_moved")), "reach")
+        arrived.append(after.filter("not _moved").drop("_moved"))
+        moving = after.filter("_moved").drop("_moved")
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, arrived)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
