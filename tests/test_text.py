@@ -82,6 +82,7 @@ def test_html(spark):
     )
     assert one(spark, extract_article(F.lit("<title>A</title><p>kecil</p> x"))) == "A kecil x"
     assert one(spark, decode_entities(F.lit("&amp;lt; &quot;&#0;"))) == '&lt; "&#0;'
+    assert one(spark, decode_entities(F.lit("&#00000233;&#x00000000e9;&#000000000000;&#99999999;"))) == "éé&#000000000000;&#99999999;"
 
 
 def test_url_title(spark):

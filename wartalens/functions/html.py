@@ -22,7 +22,7 @@ BLOCKS = [
 PARAGRAPH_END = r"(?i)</p\s*>|</?(?:" + "|".join(BLOCKS) + r")\b[^>]*>"
 TAG = r"(?s)</?[a-zA-Z][^>]*>"
 EDGES = " \t\n\r\f\x0b "
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 
 _common = ["amp", "quot", "nbsp", "lt", "gt"]
 ENTITY_NAMES = _common + sorted(set(name2codepoint) - set(_common))
@@ -38,10 +38,9 @@ def decode_entities(text: Column | str) -> Column:
     table = F.create_map(*[F.lit(x) for pair in zip(ENTITY_NAMES, ENTITY_CHARS) for x in pair])
 
     def one(piece: Column, name: Column) -> Column:
-        value = (
-            F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("long"))
-            .when(name.startswith("#"), F.substring(name, 2, 8).cast("long"))
-        )
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")          # none left: zero, which is no character
+        value = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).when(
+            name.startswith("#"), digits.try_cast("long"))
         char = F.when(name.startswith("#"), F.when(value.between(1, 0x10FFFF), _code_point(value))).when(
             name != "", F.try_element_at(table, name)
         )

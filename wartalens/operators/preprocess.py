@@ -11,6 +11,7 @@ from wartalens.functions.arrays import as_column, explode_rows
 from wartalens.functions.lookup import inline_map, inline_set
 from wartalens.functions.stemming import stem_word
 from wartalens.functions.tokens import preprocess_text
+from wartalens.session import numbered_rows
 
 INLINE_WORDS = 200_000        # word tables up to this length become a hash table in the plan
 
@@ -30,34 +31,37 @@ def preprocess_documents(
     return articles.select(F.col(key).alias("doc_id"), *keep, tokens.alias("tokens"))
 
 
-def _rejoin(docs: DataFrame, tokens_by_pos: DataFrame, key: str, tokens: str) -> DataFrame:
-    rebuilt = tokens_by_pos.groupBy(key).agg(
+def _rejoin(rows: DataFrame, tokens_by_pos: DataFrame, tokens: str) -> DataFrame:
+    rebuilt = tokens_by_pos.groupBy("_row").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("_new")
     )
     empty = F.array().cast("array<string>")
-    return docs.join(rebuilt, key, "left").withColumn(tokens, F.coalesce("_new", empty)).drop("_new")
+    kept = F.when(F.col(tokens).isNotNull(), F.coalesce("_new", empty))
+    return rows.join(rebuilt, "_row", "left").withColumn(tokens, kept).drop("_new", "_row")
 
 
 def remove_stopwords_table(
     docs: DataFrame,
     stopwords: DataFrame,
-    key: str = "doc_id",
     tokens: str = "tokens",
     inline_limit: int = INLINE_WORDS,
 ) -> DataFrame:
-    """Drop words of a one-column table: in-row if the table is short, else an anti join."""
+    """Drop words of a one-column table: in-row if the table is short, else an anti join.
+
+    Both ways give the same rows; missing or repeated keys and null tokens stay as they are.
+    """
     named = stopwords.toDF("term")
     is_stopword = inline_set(named, inline_limit)
     if is_stopword is not None:
         return docs.withColumn(tokens, F.filter(tokens, lambda t: ~is_stopword(t)))
-    kept = explode_rows(docs, [key], F.col(tokens), "term", "pos").join(named, "term", "left_anti")
-    return _rejoin(docs, kept, key, tokens)
+    rows = numbered_rows(docs)
+    kept = explode_rows(rows, ["_row"], F.col(tokens), "term", "pos").join(named, "term", "left_anti")
+    return _rejoin(rows, kept, tokens)
 
 
 def stem_with_table(
     docs: DataFrame,
     stem_map: DataFrame,
-    key: str = "doc_id",
     tokens: str = "tokens",
     inline_limit: int = INLINE_WORDS,
 ) -> DataFrame:
@@ -66,11 +70,12 @@ def stem_with_table(
     lookup = inline_map(named, inline_limit)
     if lookup is not None:
         return docs.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(lookup(t), stem_word(t))))
+    rows = numbered_rows(docs)
     stemmed = (
-        explode_rows(docs, [key], F.col(tokens), "token", "pos").join(named, "token", "left")
-        .select(key, "pos", F.coalesce("stem", stem_word("token")).alias("term"))
+        explode_rows(rows, ["_row"], F.col(tokens), "token", "pos").join(named, "token", "left")
+        .select("_row", "pos", F.coalesce("stem", stem_word("token")).alias("term"))
     )
-    return _rejoin(docs, stemmed, key, tokens)
+    return _rejoin(rows, stemmed, tokens)
 
 
 def distinct_stems(docs: DataFrame, tokens: str = "tokens") -> DataFrame:

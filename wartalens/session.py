@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app_name: str = "wartalens", master: str | None = None, **conf: str) -> SparkSession:
@@ -86,3 +87,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def numbered_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Stage a table with a row number, so that exploded parts find their row whatever its key is."""
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+

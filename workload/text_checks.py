@@ -57,7 +57,7 @@ def _remove_stopwords(spark, sf):
     docs = views.articles(spark, sf).select(
         "article_id", tokens.tokenize(text.base_clean("content")).alias("tokens")
     )
-    return remove_stopwords_table(docs, stopword_table(spark, views.STOPWORDS), key="article_id")
+    return remove_stopwords_table(docs, stopword_table(spark, views.STOPWORDS))
 
 
 VOCABULARY = CLEANED + f""",
