@@ -70,7 +70,7 @@ def test_same_seed_same_topics_whatever_the_input_order(spark):
     found = []
     for order in (rows, rows[::-1]):
         docs = spark.createDataFrame(order, "doc_id long, tokens array<string>").repartition(3)
-        model = lda.train_lda(lda.training_vectors(bow_vectors(docs, terms)), 60, num_topics=2, passes=3)
+        model = lda.train_lda(lda.training_vectors(bow_vectors(docs, terms), 60), 60, num_topics=2, passes=3)
         found.append([round(x, 9) for x in model.topicsMatrix().toArray().ravel()])
     assert found[0] == found[1]
 
@@ -78,7 +78,7 @@ def test_same_seed_same_topics_whatever_the_input_order(spark):
 def test_more_passes_fit_better(spark):
     docs = spark.createDataFrame([(i, r[5].split()) for i, r in enumerate(planted(60))], "doc_id long, tokens array<string>")
     vectors = bow_vectors(docs, sorted({w for t in THEMES for w in t}))
-    prepared = lda.training_vectors(vectors)
+    prepared = lda.training_vectors(vectors, 60)
     scores = [lda.perplexity(lda.train_lda(prepared, 60, 2, passes), vectors).first() for passes in (1, 20)]
     assert scores[1]["log_bound_per_word"] > scores[0]["log_bound_per_word"]
     assert scores[0]["log_perplexity"] == -scores[0]["log_bound_per_word"]
@@ -89,9 +89,38 @@ def test_priors_and_update_bound(spark):
     assert sum(prior) == pytest.approx(1.0) and prior == sorted(prior, reverse=True)
 
 
-def test_documents_without_vocabulary_have_no_theta(spark, store):
-    odd = spark.createDataFrame([(1, "xyzzy plugh"), (2, "harga pasar saham")], "article_id long, content string")
-    assert [r["doc_id"] for r in Scorer.load(store, 2).theta(odd).collect()] == [2]
+def test_documents_without_vocabulary_get_the_prior(spark, store):
+    odd = spark.createDataFrame([(1, "xyzzy plugh"), (2, "harga pasar saham"), (3, None)], "article_id long, content string")
+    rows = {r["doc_id"]: r for r in Scorer.load(store, 2).theta(odd).collect()}
+    assert {k: r["known"] for k, r in rows.items()} == {1: False, 2: True, 3: False}
+    assert rows[1]["theta"] == pytest.approx(lda.asymmetric_prior(2)) and rows[3]["theta"] == rows[1]["theta"]
+
+
+def test_layout_follows_documents_not_cores(spark):
+    vectors = bow_vectors(spark.createDataFrame([(1, ["a"])], "doc_id long, tokens array<string>"), ["a"])
+    sizes = (0, 1, 501, 40_000, 4_000_000)
+    assert [lda.training_vectors(vectors, n).rdd.getNumPartitions() for n in sizes] == [1, 1, 2, 64, 200]
+
+
+def test_scoring_uses_the_text_options_of_the_run(spark, tmp_path):
+    from wartalens.sources.tables import ModelStore
+
+    run = ModelStore(spark, str(tmp_path / "run"))
+    run.save_text_options(["pemerintah"], {"makanan": "santap"})
+    run.save_table("stopwords", spark.createDataFrame([("di",)], "word string"))
+    none = spark.createDataFrame([], "left_word string, right_word string, n_ab long, n_a long, n_b long, score double")
+    run.save_table("bigrams", none)
+    run.save_table("trigrams", none)
+    docs = spark.createDataFrame([(1, "pemerintah makanan di harga pasar")], "article_id long, content string")
+    expected = ["pemerintah", "santap", "harga", "pasar"]
+    assert rebuild_corpus(docs, run).first()["tokens"] == expected
+    scorer = Scorer(None, [], ["di"], none, none, **run.text_options())
+    assert scorer.tokens(docs).first()["tokens"] == expected
+
+
+def test_a_stored_run_is_not_overwritten(articles, store):
+    with pytest.raises(FileExistsError):
+        train(articles, store.path)
 
 
 def test_score_json(spark, articles, store):

@@ -12,8 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_UPDATES = 200             # model updates of one fit; beyond it mini-batches grow with the corpus
-
 
 def asymmetric_prior(k: int) -> list[float]:
     """Document prior falling with the topic number, normalised to 1."""
@@ -21,9 +19,13 @@ def asymmetric_prior(k: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def training_vectors(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pin the row layout: online LDA draws mini-batches by partition and position."""
-    partitions = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+def training_vectors(vectors: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:
+    """Pin the row layout: online LDA draws mini-batches by partition and position.
+
+    The number of partitions follows from the number of documents alone, so the draws are the same on
+    any number of cores: one per 500 documents up to 64, then one per 20,000.
+    """
+    partitions = max(1, min(64, math.ceil(n_docs / 500)), math.ceil(n_docs / 20_000))
     return vectors.select(key, "features").repartition(partitions, key).sortWithinPartitions(key)
 
 
@@ -34,21 +36,19 @@ def train_lda(
     passes: int = 10,
     chunksize: int = 2000,
     seed: int = 42,
-    max_updates: int = MAX_UPDATES,
 ) -> LDAModel:
-    """Online variational LDA: ``passes`` over the corpus in mini-batches of ``chunksize``.
+    """Online variational LDA: ``passes * ceil(n_docs / chunksize)`` updates of ``chunksize`` documents.
 
-    The number of model updates is bounded by ``max_updates``: a larger corpus is seen as
-    often, in larger mini-batches, so driver work does not grow with the data.
+    Spark draws every mini-batch at random, with replacement: a "pass" is as many draws as there are
+    documents, not a walk over the corpus. A larger ``chunksize`` gives fewer, larger updates.
     """
-    chunk = max(chunksize, math.ceil(n_docs * passes / max_updates))
-    updates = max(1, passes * math.ceil(n_docs / chunk))
+    updates = max(1, passes * math.ceil(n_docs / chunksize))
     lda = LDA(
         k=num_topics,
         maxIter=updates,
         optimizer="online",
         seed=seed,
-        subsamplingRate=min(1.0, chunk / max(n_docs, 1)),
+        subsamplingRate=min(1.0, chunksize / max(n_docs, 1)),
         learningOffset=1.0,
         learningDecay=0.5,
         optimizeDocConcentration=False,
@@ -63,7 +63,7 @@ def fit_grid(
     vectors: DataFrame, n_docs: int, ks: Sequence[int] = (10, 15, 20, 25), parallelism: int = 2, **options
 ) -> list[tuple[int, LDAModel, float]]:
     """One model per K on the same persisted vectors; ``parallelism`` fits run at a time."""
-    prepared = training_vectors(vectors).persist()
+    prepared = training_vectors(vectors, n_docs).persist()
 
     def fit(k: int) -> tuple[int, LDAModel, float]:
         start = time.time()
@@ -87,10 +87,17 @@ def phi_table(model: LDAModel, vocab: DataFrame) -> DataFrame:
 
 
 def theta_table(model: LDAModel, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(doc_id, theta)``; documents without a vocabulary word are left out (see ``article_gate``)."""
+    """``(doc_id, theta, known)`` of every document.
+
+    Documents without a vocabulary word get the normalised document prior and ``known = false``;
+    ``article_gate`` tells them apart before scoring.
+    """
+    alpha = [float(a) for a in model.estimatedDocConcentration()]
+    prior = F.array(*[F.lit(a / sum(alpha)) for a in alpha])
     scored = model.transform(vectors.select(key, "features"))
     theta = scored.select(key, vector_to_array("topicDistribution").alias("theta"))
-    return theta.filter(F.exists("theta", lambda p: p > 0))
+    known = F.exists("theta", lambda p: p > 0)
+    return theta.select(key, F.when(known, F.col("theta")).otherwise(prior).alias("theta"), known.alias("known"))
 
 
 def perplexity(model: LDAModel, vectors: DataFrame) -> DataFrame:

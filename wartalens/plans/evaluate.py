@@ -17,9 +17,10 @@ from wartalens.session import stage
 from wartalens.sources.tables import ModelStore
 
 def rebuild_corpus(articles: DataFrame, store: ModelStore, key: str = "article_id") -> DataFrame:
-    """Tokens of raw articles by the stored stopwords and phrase tables; null content is empty."""
+    """Tokens of raw articles by the stored text options, stopwords and phrase tables; null content is empty."""
     words = [row["word"] for row in store.table("stopwords").collect()]
-    docs = preprocess_documents(articles, words, key=key)
+    options = store.text_options()
+    docs = preprocess_documents(articles, words, key=key, protected=options["protected"], overrides=options["stem_overrides"])
     return apply_phrases(docs, store.table("bigrams"), store.table("trigrams"))
 
 
