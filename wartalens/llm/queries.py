@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wartalens.llm import bpe, decontaminate, language_id, minhash_dedup, quality_rules, quote_links, sharding, token_counts, token_files, toxicity
+from wartalens.llm import (
+    bpe, conversation_repair, decontaminate, language_id, link_trust, minhash_dedup, quality_rules, quote_links, sharding,
+    token_counts, token_files, toxicity, whitening,
+)
 from wartalens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +139,78 @@ FROM reach r JOIN hashed h USING (msg_id) LEFT JOIN links l USING (msg_id) LEFT
 @query("op3_quotation_links", CONVERSATIONS_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.conversations(quoting_messages(read(spark, sf_dir, "conversations")))
+
+
+URL_RULES: list[link_trust.Rule] = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+def urls_sql() -> str:
+    """Rules, seeds and every round of the link graph, in whole numbers as in the operator."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({quote(v)}, {quote(h)}, {quote(p)})" for v, h, p in URL_RULES)
+    scale, damping = link_trust.SCALE, f"CAST({link_trust.DAMPING} AS DOUBLE)"
+
+    def parts(url: str) -> str:
+        rest = f"substr({url}, position('://' IN {url}) + 3)"
+        host = f"translate(regexp_extract({rest}, '^[^/?#]*'), '{link_trust.UPPER}', '{link_trust.LOWER}')"
+        return (f"CASE WHEN contains({url}, '://') THEN {host} ELSE '' END AS host, "
+                f"CASE WHEN contains({url}, '://') THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path")
+
+    steps = [f"""rules(verdict, host, path) AS (VALUES {rules}),
+own AS MATERIALIZED (SELECT row_number() OVER () AS nth, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+links AS (SELECT nth, url AS page_url, unnest(list_distinct(regexp_extract_all(html, {quote(link_trust.LINK)}, 1))) AS link FROM own),
+seen AS (
+  SELECT page_url, CASE WHEN link LIKE '//%' THEN 'http:' || link ELSE link END AS url, FALSE AS own FROM links
+  UNION ALL SELECT url, url, TRUE FROM own),
+addresses AS MATERIALIZED (SELECT DISTINCT url, {parts('url')} FROM (SELECT url FROM seen UNION SELECT page_url FROM seen)),
+ruled AS MATERIALIZED (
+  SELECT a.url, a.host, a.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+    arg_max(r.verdict, length(r.host || r.path)) AS said
+  FROM addresses a LEFT JOIN rules r ON (a.host = r.host OR ends_with(a.host, '.' || r.host)) AND starts_with(a.path, r.path)
+  GROUP BY ALL),
+mentions AS MATERIALIZED (
+  SELECT p.host AS src, t.host AS dst, t.said, count(*) AS n
+  FROM seen s JOIN ruled p ON p.url = s.page_url JOIN ruled t ON t.url = s.url
+  WHERE p.host <> '' AND t.host <> '' AND (s.own OR p.host <> t.host) GROUP BY ALL),
+counted AS (
+  SELECT dst AS host, sum(n) AS n, coalesce(sum(n) FILTER (said = 'allow'), 0) AS a, coalesce(sum(n) FILTER (said = 'block'), 0) AS b
+  FROM mentions GROUP BY dst),
+round0 AS MATERIALIZED (
+  SELECT * FROM (SELECT 'trust' AS kind, host, CAST(floor(CAST(a * {scale} AS DOUBLE) / n) AS BIGINT) AS mass FROM counted
+    UNION ALL SELECT 'distrust', host, CAST(floor(CAST(b * {scale} AS DOUBLE) / n) AS BIGINT) FROM counted) WHERE mass > 0),
+edges AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM mentions WHERE src <> dst GROUP BY ALL),
+flows AS MATERIALIZED (
+  SELECT 'trust' AS kind, src AS host, dst AS onto, {damping} * n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 'distrust', dst, src, {damping} * n / sum(n) OVER (PARTITION BY dst) FROM edges)"""]
+    steps += [f"""round{k} AS MATERIALIZED (
+  SELECT kind, onto AS host, CAST(sum(floor(mass * share)) AS BIGINT) AS mass FROM round{k - 1} JOIN flows USING (kind, host)
+  GROUP BY ALL HAVING sum(floor(mass * share)) > 0)""" for k in range(1, link_trust.ROUNDS + 1)]
+    rounds = " UNION ALL ".join(f"SELECT * FROM round{k}" for k in range(link_trust.ROUNDS + 1))
+    return "WITH " + ",\n".join(steps) + f""",
+scores AS (
+  SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM ({rounds}) GROUP BY host)
+SELECT o.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE
+    WHEN s.distrust >= {int(link_trust.BLOCK_AT * scale)} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(CAST(s.trust AS DOUBLE), 0) / {scale} AS trust, coalesce(CAST(s.distrust AS DOUBLE), 0) / {scale} AS distrust
+FROM own o JOIN ruled r USING (url) LEFT JOIN scores s USING (host)"""
+
+
+@query("op11_link_trust", urls_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = link_trust.judge(read(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(conversation_repair.turn_rows(read(spark, sf_dir, "conversations")))
+    return conversation_repair.repair(turns).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
