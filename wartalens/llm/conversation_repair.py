@@ -46,28 +46,23 @@ def code(role: str, fault: int) -> str:
 def needs(codes: str) -> list[array]:
     """Cost that is surely needed from each (state, row) to the end, by a simpler grammar.
 
-    There user and assistant alternate, and a system row may stay wherever a user may come, for 1
-    except at the very start. A row deleted right before a system row costs 1 less there: whoever
-    keeps a system row further on has deleted the row before it, so the sum is never too high.
+    That one takes a system turn alone as well-formed, too, so its states after a system and after an
+    assistant turn are one, and its costs are never too high. They are close, so a
+    search needs few bounds however long the conversation is.
     """
     n = len(codes)
     user_next, assistant_next, start = (array("q", bytes(8 * (n + 1))) for _ in range(3))
     assistant_next[n] = INSERT
     for i in range(n - 1, -1, -1):
         fault, role = divmod(ord(codes[i]) - 65, 4)
-        can_stay, extra = fault < BLANK, CUT if fault == TRUNCATED else 0
-        before_system = i + 1 < n and (ord(codes[i + 1]) - 65) % 4 == 2 and ord(codes[i + 1]) - 65 < 4 * BLANK
-        dropped = DELETE - (1 if before_system else 0)
-        u, a = dropped + user_next[i + 1], dropped + assistant_next[i + 1]
-        first = None
-        if can_stay:
+        u, a, first = (DELETE + later[i + 1] for later in (user_next, assistant_next, start))
+        if fault < BLANK:
+            extra = CUT if fault == TRUNCATED else 0
             u = min(u, extra + (0 if role == 0 else REROLE) + assistant_next[i + 1])
             a = min(a, extra + (0 if role == 1 else REROLE) + user_next[i + 1])
-            if role == 2:
-                u = min(u, extra + (1 if i else 0) + user_next[i + 1])
-                first = extra + user_next[i + 1]
+            first = min(first, extra + user_next[i + 1]) if role == 2 else first
         user_next[i], assistant_next[i] = min(u, INSERT + a), min(a, INSERT + u)
-        start[i] = user_next[i] if first is None else min(first, user_next[i])
+        start[i] = min(first, user_next[i])
     return [start, array("q", user_next), assistant_next, user_next]
 
 

@@ -26,7 +26,7 @@ from wartalens.session import stage
 SCALE = 1_000_000_000
 DAMPING = 0.85
 ROUNDS = 40                           # 0.85 ** 40: under two thousandths of the mass still to move
-BLOCK_AT = 0.5
+BLOCK_AT = 0.25                       # a blocked host shares its distrust among all that link to it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute or protocol-relative addresses in link and source attributes.
 LINK = r"""(?i)(?:href|src)[\t\n\r ]*=[\t\n\r ]*["']?[\t\n\r ]*((?:[a-z][a-z0-9+.-]*:)?//[^"'<>\t\n\r ]*)"""
