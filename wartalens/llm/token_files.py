@@ -15,9 +15,11 @@ import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +30,7 @@ from wartalens.llm.common import prepare_python, quoted
 from wartalens.session import new_path, stage
 
 READ_DOCS = 4096                      # documents per batch on reading back
+SLICE_BYTES = 8 << 20                 # text encoded at a time
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,8 +41,9 @@ class LibraryEncoder:
     """Ids from the ``tokenizers`` library.
 
     A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer
-    without added prefix space always cuts too. Pre-tokens of a cut go to
-    the library's model, and ids of cuts are remembered (bounded). Texts with other white space around spaces, or with
+    without added prefix space always cuts too. Arrow cuts the texts of a batch and numbers their distinct
+    cuts; pre-tokens of a distinct cut go to the library's model once, ids of cuts are remembered
+    (bounded), and NumPy puts the ids of all texts together. Texts with other white space around spaces, or with
     text of a special token, go to the library whole, as do all texts for tokenizers of another kind.
     """
 
@@ -54,38 +58,95 @@ class LibraryEncoder:
         parts = json.loads(self.library.to_str())
         self.byte_level = parts["normalizer"] is None and parts["post_processor"] is None and parts["model"]["type"] == "BPE" and (
             parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, added))).search if added else lambda _: None
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = {b: letter for letter, b in byte_letters().items()}
         self.model = self.library.model
         self.pieces = regex.compile(PIECES).findall
         self.of_piece = Memory(self._piece, REMEMBERED_PIECES)
-        self.of_cut = Memory(self._cut, REMEMBERED_CUTS)
+        self.of_cut = Memory(lambda cut: self._cut(" " + cut, cut), REMEMBERED_CUTS)
+        self.of_first = Memory(lambda cut: self._cut(cut, cut), REMEMBERED_PIECES)
 
     def _ids(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _cut(self, cut: str) -> bytes:
+    def _cut(self, spelled: str, cut: str) -> bytes:
         if space_ends(cut):
             return b""
         if LETTERS(cut):
-            return self._piece(" " + cut)
-        return b"".join(map(self.of_piece.__getitem__, self.pieces(" " + cut)))
+            return self._piece(spelled)
+        return b"".join(map(self.of_piece.__getitem__, self.pieces(spelled)))
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token, from the library's model."""
         spelled = piece.encode().decode("latin-1").translate(self.letters)
         return packed([token.id for token in self.model.tokenize(spelled)])
 
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has; a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.byte_level:
+            return joined_ids([self._ids(text) for text in texts.to_pylist()])
+        cuts = pc.split_pattern(texts, " ")
+        numbered = cuts.flatten().dictionary_encode()
+        kind, n_cuts = numbered.indices.to_numpy().astype(np.int64), cuts.value_lengths().to_numpy().astype(np.int64)
+        text_of = np.repeat(np.arange(len(texts)), n_cuts)
+        first = np.cumsum(n_cuts) - n_cuts
+        later = np.ones(len(kind), bool)
+        later[first] = False
+        distinct = numbered.dictionary
+        own = np.zeros(len(distinct), bool)             # cuts that stand after a space somewhere
+        own[kind[later]] = True
+        found = [b""] * len(distinct)
+        for at, cut in zip(np.flatnonzero(own).tolist(), distinct.filter(pa.array(own)).to_pylist()):
+            found[at] = self.of_cut[cut]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+        whole = np.zeros(len(texts), bool)              # texts for the library
+        whole[text_of[later & (size[kind] == 0)]] = True
+        for special in self.specials:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        starts = distinct.take(pa.array(kind[first])).to_pylist()
+        heads = [b""] * len(texts)
+        for i, cut in enumerate(starts):
+            if not whole[i]:
+                heads[i] = self.of_first[cut]
+                whole[i] = not heads[i]
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = self._ids(texts[i].as_py()) if len(starts[i]) or n_cuts[i] > 1 else b""
+
+        # one table of pieces: distinct cuts, the beginning of each text, and an empty one
+        piece = kind.copy()
+        piece[later & whole[text_of]] = len(distinct) + len(texts)
+        piece[first] = len(distinct) + np.arange(len(texts))
+        sizes = np.concatenate([size, np.fromiter(map(len, heads), np.int64, len(heads)) // 4, [0]])
+        flat = np.frombuffer(b"".join(found) + b"".join(heads), "<u4")
+        taken = sizes[piece]
+        ends = np.cumsum(taken)
+        shift = (np.cumsum(sizes) - sizes)[piece] - (ends - taken)
+        ids = flat[np.repeat(shift, taken) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.bincount(text_of, taken, len(texts)).astype(np.int64)
+
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        first, *cuts = text.split(" ")
-        if self.byte_level and not space_ends(first) and not self.special(text):
-            found = list(map(self.of_cut.__getitem__, cuts))
-            if all(found):
-                return np.frombuffer(b"".join([self._ids(first), *found]), "<u4")
-        return np.frombuffer(self._ids(text), "<u4")
+        """Ids of one text."""
+        return self(pa.array([text], pa.string()))[0]
+
+
+def joined_ids(each: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+
+
+def one_by_one(encode: Callable[[str | None], np.ndarray]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """An encoder of Arrow arrays from one of single texts."""
+    return lambda texts: joined_ids([encode(text).astype("<u4").tobytes() for text in texts.to_pylist()])
+
+
+def by_bytes(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about ``limit`` bytes, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -97,35 +158,41 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def _write_part(folder: str, number: int, kind: str, rows: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, int]:
-    """Write one part; both files appear under their names only when complete, so a retry is safe."""
+def _write_part(folder: str, number: int, kind: str, groups: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[int, int]:
+    """Write one part; both files appear under their names only when complete, so a retry is safe.
+
+    ``groups`` gives keys, ids and ids per document of consecutive documents.
+    """
     system, root = _at(folder)
     system.create_dir(root, recursive=True)
     name = f"{root}/part-{number:05d}"
     draft = f"{root}/.{number:05d}-{uuid.uuid4().hex}"
-    keys, nulls, offsets = [], bytearray(), [0]
+    keys, nulls, lengths = [], bytearray(), [np.zeros(1, np.int64)]
     with system.open_output_stream(f"{draft}.bin") as out:
-        for key, ids in rows:
-            out.write(ids.astype(kind).tobytes())
-            keys.append(0 if key is None else key)
-            nulls.append(key is None)
-            offsets.append(offsets[-1] + len(ids))
+        for own, ids, sizes in groups:
+            out.write(np.ascontiguousarray(ids, kind).data)
+            keys.append(pc.fill_null(own, 0).to_numpy())
+            nulls += own.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            lengths.append(sizes)
+    offsets = np.cumsum(np.concatenate(lengths))
+    keys = np.concatenate(keys)
     with system.open_output_stream(f"{draft}.idx") as out:
-        out.write(np.asarray(offsets, "<i8").tobytes())
+        out.write(offsets.astype("<i8").tobytes())
         out.write(np.asarray(keys, "<i8").tobytes())
         out.write(bytes(nulls))
     for end in ("bin", "idx"):
         system.move(f"{draft}.{end}", f"{name}.{end}")
-    return len(keys), offsets[-1]
+    return len(keys), int(offsets[-1])
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, make_encoder: Callable[[], Callable[[str | None], np.ndarray]],
-    vocabulary_size: int, end_id: int = 0, text: str = "text", key: str = "doc_id", parts: int | None = None,
+    docs: DataFrame, folder: str, make_encoder: Callable[[], Callable],
+    vocabulary_size: int, end_id: int = 0, text: str = "text", key: str = "doc_id", parts: int | None = None, by_batch: bool = False,
 ) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write the files in ascending key order.
 
-    ``make_encoder()`` runs on the executors. Returns the manifest, one row per part:
+    ``make_encoder()`` runs on the executors; what it returns turns a text into its ids or, ``by_batch``, an
+    Arrow array of texts into all ids and the number of each text. Returns the manifest, one row per part:
     ``part, n_docs, n_tokens, base``. Null keys come first; rows that repeat a key stand
     together, ordered by a hash of the text. A null or empty text is its end id alone. An empty
     table gives an empty manifest. Ranges are cut on key, text hash and row, so one key may hold any
@@ -135,22 +202,22 @@ def write_token_files(
     kind = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = make_encoder(), np.asarray([end_id], "<u4")
+        encode = make_encoder() if by_batch else one_by_one(make_encoder())
         batches = (b for b in batches if b.num_rows)
         if (head := next(batches, None)) is None:
             return
 
-        def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            batch = head
-            while batch is not None:
-                for i in range(0, batch.num_rows, 200):
-                    part = batch.slice(i, 200)
-                    for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        yield doc, np.concatenate([encode(content), end])
-                batch = next(batches, None)
+        def groups() -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+            for batch in chain([head], batches):
+                for a, b in by_bytes(batch.column(1)):
+                    part = batch.slice(a, b - a)
+                    ids, sizes = encode(part.column(1))
+                    ended = np.full(len(ids) + len(sizes), end_id, kind)
+                    ended[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+                    yield part.column(0), ended, sizes + 1
 
         number = TaskContext.get().partitionId()
-        n_docs, n_tokens = _write_part(folder, number, kind, rows())
+        n_docs, n_tokens = _write_part(folder, number, kind, groups())
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([number], pa.int32()), "n_docs": pa.array([n_docs], pa.int64()),
             "n_tokens": pa.array([n_tokens], pa.int64()),
@@ -222,5 +289,5 @@ def token_files(
     """Write the corpus with the library's vocabulary file ``path`` and read it back."""
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
-    manifest = write_token_files(docs, folder, lambda: library_encoder(path).encode, vocabulary_size, end_id, text, key)
+    manifest = write_token_files(docs, folder, lambda: library_encoder(path), vocabulary_size, end_id, text, key, by_batch=True)
     return read_token_files(spark, folder, manifest, vocabulary_size)
