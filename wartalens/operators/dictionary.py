@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wartalens.functions.arrays import explode_rows, run_lengths
+from wartalens.operators.ranges import running_sum
+from wartalens.session import stage
 
 KEEP_N = 100_000
 
@@ -31,16 +33,19 @@ def filter_extremes(
 ) -> DataFrame:
     """Terms in ``no_below .. no_above * n_docs`` documents, the ``keep_n`` most frequent, ids from 0.
 
-    ``n_docs`` is a number or a scalar column. The ids need one ordered pass, over at
-    most ``keep_n`` rows.
+    ``n_docs`` is a number or a scalar column. Counts per document frequency tell the least frequency
+    that is needed; terms from there on are numbered by ranges (:func:`running_sum`), so no task sorts
+    or holds the vocabulary. The frequencies are few: their number grows with the root of all
+    occurrences, and only they meet in one task.
     """
     upper = F.floor(F.lit(no_above) * (F.lit(n_docs) if isinstance(n_docs, (int, float)) else n_docs))
-    kept = (
-        frequencies.filter((F.col("df") >= no_below) & (F.col("df") <= upper))
-        .orderBy(F.desc("df"), "term").limit(keep_n)
-    )
-    term_id = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1
-    return kept.select(term_id.cast("long").alias("term_id"), "term", "df", "cf")
+    known = stage(frequencies.filter((F.col("df") >= no_below) & (F.col("df") <= upper)), "frequencies")
+    above = F.sum("n").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1))
+    per_frequency = known.groupBy("df").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(above, F.lit(0)))
+    least = per_frequency.filter(F.col("above") < keep_n).agg(F.min("df")).first()[0]
+    needed = known.filter(F.col("df") >= F.lit(least).cast("long"))
+    numbered = running_sum(needed, [F.desc("df"), F.col("term")], F.lit(1), "term_id")
+    return numbered.filter(F.col("term_id") < keep_n).select("term_id", "term", "df", "cf")
 
 
 def build_dictionary(

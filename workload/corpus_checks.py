@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wartalens.operators import corpus, corpus_stats, document_topics
 from wartalens.operators.dictionary import build_dictionary
+from wartalens.operators.preprocess import preprocess_documents
 from wartalens.plans.evaluate import rebuild_corpus
 from wartalens.session import new_path, spread, stage
 from wartalens.sources.articles import extract_articles, read_articles
@@ -60,12 +61,21 @@ SELECT d.doc_id, coalesce(string_agg(f.term, ' ' ORDER BY f.pos), '') AS tokens
 FROM docs d LEFT JOIN flat_tri f USING (doc_id) GROUP BY d.doc_id"""
 
 
-@check("rebuild_corpus", sql.with_(sql.PHRASED, REBUILT))
+KEPT_WHOLE, GIVEN_STEMS = ["memperjuangkan", "thering", "pation"], {"rapat": "rapatkan", "kerja": "bekerja", "anding": "and"}
+AS_STORED = sql.ARTICLES + ",\n" + sql.tokens_of(
+    "articles", "article_id", "content", "lang",
+    lambda w: f"CASE WHEN {w} IN {sql.words(KEPT_WHOLE)} THEN {w} "
+    + " ".join(f"WHEN {w} = {sql.lit(a)} THEN {sql.lit(b)}" for a, b in GIVEN_STEMS.items()) + f" ELSE {sql.stem(w)} END")
+
+
+@check("rebuild_corpus", sql.with_(AS_STORED + ",\n" + sql.PHRASES, REBUILT))
 def _rebuild_corpus(spark, sf):
+    """Protected words and given stems are part of the stored run, in its phrases and in the rebuilt tokens."""
     store = ModelStore(spark, new_path(spark, "store"))
     articles = views.articles(spark, sf)
     store.save_table("stopwords", stopword_table(spark, views.STOPWORDS))
-    bigrams, trigrams = learn_phrases(views.staged_docs(spark, sf))
+    store.save_text_options(KEPT_WHOLE, GIVEN_STEMS)
+    bigrams, trigrams = learn_phrases(stage(preprocess_documents(articles, views.STOPWORDS, KEPT_WHOLE, GIVEN_STEMS), "tokens"))
     store.save_table("bigrams", bigrams)
     store.save_table("trigrams", trigrams)
     return rebuild_corpus(articles, store)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from wartalens.functions import html, stemming, text
@@ -93,7 +94,7 @@ ARTICLES = f"""articles AS MATERIALIZED (
 STOP = words(views.STOPWORDS)
 
 
-def tokens_of(source: str, key: str, column: str, keep: str = "") -> str:
+def tokens_of(source: str, key: str, column: str, keep: str = "", stemmed: Callable[[str], str] = stem) -> str:
     """``docs(doc_id, ..., tokens)`` from a source table."""
     extra = f", {keep}" if keep else ""
     return f"""split_up AS MATERIALIZED (
@@ -102,7 +103,7 @@ word_rows AS (
   SELECT doc_id, unnest(list_filter(string_split(c, ' '), lambda t: length(t) > 1)) AS w,
     generate_subscripts(list_filter(string_split(c, ' '), lambda t: length(t) > 1), 1) AS p FROM split_up),
 stems AS MATERIALIZED (
-  SELECT w, {stem('w')} AS s FROM (SELECT DISTINCT w FROM word_rows WHERE w NOT IN {STOP})),
+  SELECT w, {stemmed('w')} AS s FROM (SELECT DISTINCT w FROM word_rows WHERE w NOT IN {STOP})),
 docs AS MATERIALIZED (
   SELECT d.doc_id{extra}, coalesce(g.tokens, []) AS tokens FROM split_up d LEFT JOIN (
     SELECT doc_id, list(s ORDER BY p) AS tokens FROM word_rows JOIN stems USING (w)
@@ -184,10 +185,11 @@ def merged(prefix: str, source: str, phrases: str, target: str) -> str:
   WHERE t.pos IS NULL)"""
 
 
-PHRASED = (
-    DOCS + ",\n" + counted("bi_", "flat") + ",\n" + merged("m1_", "flat", "bi_phrases", "flat_bi") + ",\n"
+PHRASES = (
+    counted("bi_", "flat") + ",\n" + merged("m1_", "flat", "bi_phrases", "flat_bi") + ",\n"
     + counted("tri_", "flat_bi") + ",\n" + merged("m2_", "flat_bi", "tri_phrases", "flat_tri")
 )
+PHRASED = DOCS + ",\n" + PHRASES
 
 
 def window_counts(width: int) -> str:
