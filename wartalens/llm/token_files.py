@@ -25,30 +25,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wartalens.llm.bpe import LETTERS, PIECES, REMEMBERED_CUTS, REMEMBERED_PIECES, Memory, byte_letters, packed, space_ends
+from wartalens.llm.bpe import REMEMBERED_PIECES, Memory, packed, space_ends
 from wartalens.llm.common import prepare_python, quoted
 from wartalens.session import new_path, stage
 
 READ_DOCS = 4096                      # documents per batch on reading back
 SLICE_BYTES = 8 << 20                 # text encoded at a time
+REMEMBERED_CUTS = 1_000_000           # distinct cuts whose ids a process remembers
+SPACE_LETTER = "\u0120"               # how byte-level vocabularies spell a space
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+class Cuts:
+    """Ids of cuts that follow a space, looked up by number; starts anew when it holds ``limit`` cuts.
+
+    New cuts are encoded all at once, as one text of words with spaces between: only the first token of a
+    cut begins with a space. Cuts with white space at an end may not be looked at alone and have number 0,
+    which has no ids.
+    """
+
+    def __init__(self, library, limit: int):
+        self.library, self.limit = library, limit
+        size = library.get_vocab_size(with_added_tokens=True)
+        self.opens = np.array([str(library.id_to_token(i)).startswith(SPACE_LETTER) for i in range(size)])
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)       # the ids of cut i end at ends[i]
+
+    def numbers(self, cuts: list[str]) -> np.ndarray:
+        if len(self.known) + len(cuts) > self.limit:
+            self._empty()
+        found = list(map(self.known.get, cuts))
+        new = [cut for cut, number in zip(cuts, found) if number is None]
+        if new:
+            self._learn(new)
+            found = list(map(self.known.__getitem__, cuts))
+        return np.array(found, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        sound = [cut for cut in new if not space_ends(cut)]
+        self.known.update((cut, 0) for cut in new)
+        ids, begins = np.empty(0, "<u4"), np.empty(0, np.int64)
+        if sound:
+            ids = np.array(self.library.encode(" " + " ".join(sound), add_special_tokens=False).ids, "<u4")
+            begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(sound) or (sound and begins[0] != 0):              # a special token took a space along
+            each = [np.array(self.library.encode(" " + cut, add_special_tokens=False).ids, "<u4") for cut in sound]
+            ids = np.concatenate(each)
+            begins = np.cumsum([0, *map(len, each)])[:-1]
+        self.known.update(zip(sound, range(len(self.ends), len(self.ends) + len(sound))))
+        self.ends = np.append(self.ends, len(self.flat) + np.append(begins[1:], len(ids))) if sound else self.ends
+        self.flat = np.append(self.flat, ids)
+
+
 class LibraryEncoder:
     """Ids from the ``tokenizers`` library.
 
     A text is cut at single spaces between visible characters, where a byte-level pre-tokenizer
     without added prefix space always cuts too. Arrow cuts the texts of a batch and numbers their distinct
-    cuts; pre-tokens of a distinct cut go to the library's model once, ids of cuts are remembered
-    (bounded), and NumPy puts the ids of all texts together. Texts with other white space around spaces, or with
-    text of a special token, go to the library whole, as do all texts for tokenizers of another kind.
+    cuts; the library encodes the cuts not seen before (:class:`Cuts`), and NumPy puts the ids of
+    all texts together. Texts with other white space around spaces, or with text of a special token, go
+    to the library whole, as do all texts for tokenizers of another kind.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,28 +104,12 @@ class LibraryEncoder:
         self.byte_level = parts["normalizer"] is None and parts["post_processor"] is None and parts["model"]["type"] == "BPE" and (
             parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.model = self.library.model
-        self.pieces = regex.compile(PIECES).findall
-        self.of_piece = Memory(self._piece, REMEMBERED_PIECES)
-        self.of_cut = Memory(lambda cut: self._cut(" " + cut, cut), REMEMBERED_CUTS)
-        self.of_first = Memory(lambda cut: self._cut(cut, cut), REMEMBERED_PIECES)
+        self.cuts = Cuts(self.library, REMEMBERED_CUTS)
+        self.of_first = Memory(lambda cut: b"" if space_ends(cut) else self._ids(cut), REMEMBERED_PIECES)
 
     def _ids(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _cut(self, spelled: str, cut: str) -> bytes:
-        if space_ends(cut):
-            return b""
-        if LETTERS(cut):
-            return self._piece(spelled)
-        return b"".join(map(self.of_piece.__getitem__, self.pieces(spelled)))
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one pre-token, from the library's model."""
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return packed([token.id for token in self.model.tokenize(spelled)])
-
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has; a null text is empty."""
         texts = pc.fill_null(texts, "")
@@ -96,13 +125,12 @@ class LibraryEncoder:
         distinct = numbered.dictionary
         own = np.zeros(len(distinct), bool)             # cuts that stand after a space somewhere
         own[kind[later]] = True
-        found = [b""] * len(distinct)
-        for at, cut in zip(np.flatnonzero(own).tolist(), distinct.filter(pa.array(own)).to_pylist()):
-            found[at] = self.of_cut[cut]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        numbers = np.zeros(len(distinct), np.int64)
+        numbers[own] = self.cuts.numbers(distinct.filter(pa.array(own)).to_pylist())
+        piece = numbers[kind]
 
         whole = np.zeros(len(texts), bool)              # texts for the library
-        whole[text_of[later & (size[kind] == 0)]] = True
+        whole[text_of[later & (piece == 0)]] = True
         for special in self.specials:
             whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         starts = distinct.take(pa.array(kind[first])).to_pylist()
@@ -114,19 +142,18 @@ class LibraryEncoder:
         for i in np.flatnonzero(whole).tolist():
             heads[i] = self._ids(texts[i].as_py()) if len(starts[i]) or n_cuts[i] > 1 else b""
 
-        # one table of pieces: distinct cuts, the beginning of each text, and an empty one
-        piece = kind.copy()
-        piece[later & whole[text_of]] = len(distinct) + len(texts)
-        piece[first] = len(distinct) + np.arange(len(texts))
-        sizes = np.concatenate([size, np.fromiter(map(len, heads), np.int64, len(heads)) // 4, [0]])
-        flat = np.frombuffer(b"".join(found) + b"".join(heads), "<u4")
+        # pieces: the known cuts, then the beginning of each text; a text encoded whole has that one only
+        ends = self.cuts.ends
+        piece[later & whole[text_of]] = 0
+        piece[first] = len(ends) + np.arange(len(texts))
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, heads), np.int64, len(heads)) // 4])
+        flat = np.concatenate([self.cuts.flat, np.frombuffer(b"".join(heads), "<u4")])
         taken = sizes[piece]
-        ends = np.cumsum(taken)
-        shift = (np.cumsum(sizes) - sizes)[piece] - (ends - taken)
-        ids = flat[np.repeat(shift, taken) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.cumsum(taken)
+        shift = (np.cumsum(sizes) - sizes)[piece] - (upto - taken)
+        ids = flat[np.repeat(shift, taken) + np.arange(upto[-1] if len(upto) else 0)]
         return ids, np.bincount(text_of, taken, len(texts)).astype(np.int64)
 
-
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text."""
         return self(pa.array([text], pa.string()))[0]
