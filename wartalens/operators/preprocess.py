@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from wartalens.functions.arrays import as_column, explode_rows
 from wartalens.functions.lookup import inline_map, inline_set
+from wartalens.functions.roots import root_candidates
 from wartalens.functions.stemming import stem_word
-from wartalens.functions.tokens import preprocess_text
-from wartalens.session import numbered_rows
+from wartalens.functions.text import base_clean
+from wartalens.functions.tokens import preprocess_text, stem_tokens, tokenize
+from wartalens.session import numbered_rows, stage
 
 INLINE_WORDS = 200_000        # word tables up to this length become a hash table in the plan
 
@@ -82,3 +84,67 @@ def distinct_stems(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct tokens with their rule-based stem: the table a user edits into a ``stem_map``."""
     distinct = explode_rows(docs, [], F.array_distinct(as_column(tokens)), "token").distinct()
     return distinct.select("token", stem_word("token").alias("stem"))
+
+
+def root_stems(tokens: DataFrame, roots: DataFrame, token: str = "token") -> DataFrame:
+    """``(token, stem)`` of every distinct token: the first of its candidates that ``roots`` knows, else the token.
+
+    ``roots`` has one column of root words; nulls and repeats in it do no harm. Candidates are built once
+    per distinct token and meet the roots in one semi join, so neither table has a size bound.
+    """
+    known = roots.toDF("candidate").filter("candidate IS NOT NULL").distinct()
+    distinct = tokens.select(F.col(token).alias("token")).filter("token IS NOT NULL").distinct()
+    forms = distinct.select("token", F.posexplode(root_candidates("token")).alias("nth", "candidate"))
+    first = forms.join(known, "candidate", "left_semi").groupBy("token").agg(F.min_by("candidate", "nth").alias("stem"))
+    return distinct.join(first, "token", "left").select("token", F.coalesce("stem", "token").alias("stem"))
+
+
+def stem_by_roots(
+    docs: DataFrame,
+    roots: DataFrame,
+    protected: Iterable[str] = (),
+    overrides: Mapping[str, str] | None = None,
+    tokens: str = "tokens",
+    inline_limit: int = INLINE_WORDS,
+) -> DataFrame:
+    """Stem by confix stripping against a table of root words; protected words and given stems win.
+
+    The stems of the distinct tokens are written once and looked up by :func:`stem_with_table`.
+    """
+    rows = stage(docs, "unstemmed")
+    distinct = explode_rows(rows, [], F.array_distinct(as_column(tokens)), "token")
+    stems = root_stems(distinct, roots)
+    kept, given = sorted(set(protected)), dict(overrides or {})
+    stem = F.col("stem")
+    if given:
+        pairs = [F.lit(part) for item in sorted(given.items()) for part in item]
+        stem = F.when(F.col("token").isin(sorted(given)), F.element_at(F.create_map(*pairs), F.col("token"))).otherwise(stem)
+    if kept:
+        stem = F.when(F.col("token").isin(kept), F.col("token")).otherwise(stem)
+    return stem_with_table(rows, stage(stems.select("token", stem.alias("stem")), "stems"), tokens, inline_limit)
+
+
+def preprocess_with_tables(
+    articles: DataFrame,
+    stopwords: DataFrame,
+    roots: DataFrame | None = None,
+    protected: Iterable[str] = (),
+    overrides: Mapping[str, str] | None = None,
+    text: str = "content",
+    key: str = "article_id",
+    keep: Iterable[str] = (),
+    inline_limit: int = INLINE_WORDS,
+    **clean_options: bool,
+) -> DataFrame:
+    """As :func:`preprocess_documents`, with stopwords and root words in tables of any size.
+
+    Without ``roots`` the dictionary-free rules stem.
+    """
+    cleaned = tokenize(base_clean(text, **clean_options))
+    docs = articles.select(F.col(key).alias("doc_id"), *keep, cleaned.alias("tokens"))
+    docs = remove_stopwords_table(docs, stopwords, inline_limit=inline_limit)
+    if roots is None:
+        docs = docs.withColumn("tokens", stem_tokens("tokens", protected, overrides))
+    else:
+        docs = stem_by_roots(docs, roots, protected, overrides, inline_limit=inline_limit)
+    return remove_stopwords_table(docs, stopwords, inline_limit=inline_limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from html.entities import name2codepoint
 
-from wartalens.functions import html, stemming, text
+from wartalens.functions import html, roots, stemming, text
 from workload import views
 
 
@@ -79,6 +79,49 @@ def stem(c: str) -> str:
     return c
 
 
+def root_stems(tokens: str, known: str) -> str:
+    """``root_stems(token, stem)`` from ``tokens(token)`` and ``known(root)``: look-ups step by step, first found wins."""
+    def prefixed(source: str, level: int) -> str:
+        rules = []
+        for nth, (pattern, forms) in enumerate(roots.PREFIXES):
+            options = ", ".join(f"regexp_replace(form, {lit(pattern)}, {lit(f.replace('$1', chr(92) + '1'))})" for f in forms)
+            rules.append(f"WHEN regexp_matches(form, {lit(pattern)}) THEN [{options}]")
+        same = "list_filter(more, lambda x: substr(x, 1, 2) <> substr(form, 1, 2))" if level > 1 else "more"
+        return f"""forms{level} AS MATERIALIZED (
+  SELECT token, base, path || [i] AS path, more[i] AS form FROM (
+    SELECT token, base, path, {same} AS more, unnest(range(1, len({same}) + 1)) AS i FROM (
+      SELECT token, base, path, form, list_filter(CASE {' '.join(rules)} ELSE CAST([] AS VARCHAR[]) END,
+        lambda x: length(x) >= {roots.SHORTEST}) AS more FROM {source})))"""
+
+    def off(column: str, pattern: str) -> str:
+        shorter = f"regexp_replace({column}, {lit(pattern)}, '')"
+        return f"CASE WHEN length({shorter}) >= {roots.SHORTEST} THEN {shorter} ELSE {column} END"
+
+    forbidden = " OR ".join(f"(suffix = {lit(s)} AND regexp_matches(token, {lit(p)}))" for s, p in roots.FORBIDDEN)
+    return f"""bare_words AS (SELECT token, {off('token', roots.PARTICLE)} AS bare FROM {tokens}),
+own_words AS (SELECT *, {off('bare', roots.POSSESSIVE)} AS own FROM bare_words),
+core_words AS (SELECT *, {off('own', roots.DERIVED)} AS core FROM own_words),
+parted AS MATERIALIZED (SELECT *, substr(own, length(core) + 1) AS suffix FROM core_words WHERE length(token) > {roots.SHORTEST}),
+bases AS MATERIALIZED (
+  SELECT token, 0 AS base, core AS form FROM parted WHERE NOT ({forbidden})
+  UNION ALL SELECT token, 1, core || 'k' FROM parted
+    WHERE suffix = 'kan' AND NOT regexp_matches(token, {lit(dict(roots.FORBIDDEN)['an'])})
+  UNION ALL SELECT token, 2, own FROM parted UNION ALL SELECT token, 3, bare FROM parted UNION ALL SELECT token, 4, token FROM parted),
+forms0 AS (SELECT token, base, CAST([] AS BIGINT[]) AS path, form FROM bases),
+{prefixed('forms0', 1)},
+{prefixed('forms1', 2)},
+{prefixed('forms2', 3)},
+looked_up AS (
+  SELECT token, token AS form, [0, 0] AS place FROM {tokens}
+  UNION ALL SELECT token, bare, [0, 1] FROM parted UNION ALL SELECT token, own, [0, 2] FROM parted
+  UNION ALL SELECT token, form, [0, 3 + base] FROM bases WHERE base < 2
+  UNION ALL SELECT token, form, [1 + base, len(path)] || path FROM (
+    SELECT * FROM forms1 UNION ALL SELECT * FROM forms2 UNION ALL SELECT * FROM forms3)),
+root_stems AS (
+  SELECT t.token, coalesce(f.stem, t.token) AS stem FROM {tokens} t LEFT JOIN (
+    SELECT token, arg_min(form, place) AS stem FROM looked_up WHERE form IN (SELECT root FROM {known}) GROUP BY token) f USING (token))"""
+
+
 ARTICLES = f"""articles AS MATERIALIZED (
   SELECT doc_id AS article_id, source AS portal, 'Artikel ' || doc_id AS title,
     try_cast(CASE WHEN doc_id % 83 = 0 THEN 'n/a'

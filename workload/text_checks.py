@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wartalens.functions import text, tokens
 from wartalens.operators import dictionary, phrases
-from wartalens.operators.preprocess import distinct_stems, remove_stopwords_table
+from wartalens.operators.preprocess import distinct_stems, remove_stopwords_table, root_stems
 from wartalens.session import stage
 from wartalens.sources.stopwords import stopword_table
 from workload import sql, views
@@ -70,6 +70,20 @@ def _stem_tokens(spark, sf):
     return distinct_stems(docs)
 
 
+ROOTED = VOCABULARY + f""",
+said AS (SELECT unnest(string_split({sql.clean('text')}, ' ')) AS root FROM conversations),
+known_roots AS MATERIALIZED (SELECT DISTINCT root FROM said WHERE length(root) > 1),
+""" + sql.root_stems("distinct_tokens", "known_roots")
+
+
+@check("stem_by_roots", sql.with_(ROOTED, "SELECT token, stem FROM root_stems"))
+def _stem_by_roots(spark, sf):
+    """Tokens of the articles against the words of the conversations as root table."""
+    words = lambda column: F.explode(tokens.tokenize(text.base_clean(column)))
+    said = views.read(spark, sf, "conversations").select(words("text").alias("root"))
+    return root_stems(views.articles(spark, sf).select(words("content").alias("token")), said)
+
+
 PROTECTED = ["memperjuangkan", "thering", "anding", "pation"]
 
 
