@@ -74,7 +74,7 @@ def stem_with_table(
         return docs.withColumn(tokens, F.transform(tokens, lambda t: F.coalesce(lookup(t), stem_word(t))))
     rows = numbered_rows(docs)
     stemmed = (
-        explode_rows(rows, ["_row"], F.col(tokens), "token", "pos").join(named, "token", "left")
+        rows.select("_row", F.posexplode_outer(tokens).alias("pos", "token")).filter("pos IS NOT NULL").join(named, "token", "left")
         .select("_row", "pos", F.coalesce("stem", stem_word("token")).alias("term"))
     )
     return _rejoin(rows, stemmed, tokens)
