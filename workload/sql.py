@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.entities import name2codepoint
 
 from wartalens.functions import html, roots, stemming, text
 from workload import views
@@ -281,45 +280,47 @@ valued AS MATERIALIZED (
 
 
 def extracted() -> str:
-    """``texts(page_id, content)`` from pages."""
-    names = ", ".join(f"{lit(n)}: {lit(chr(c))}" for n, c in name2codepoint.items())
+    """``texts(page_id, content)`` from pages: tokens of a page as rows, paragraphs by running counts."""
+    names = ", ".join(f"{lit(n)}: {lit(c)}" for n, c in html.NAMED.items())
+    windows = ", ".join(f"{byte}: {lit(c)}" for byte, c in html.WINDOWS.items())
     edges = f"{WHITESPACE} || chr(160)"
-    body = sub("html", html.DROPPED, "")
-    split_mark = "chr(1)"
-
-    def visible(fragment: str) -> str:
-        nodes = f"string_split(regexp_replace({fragment}, {lit(html.TAG)}, {split_mark}, 'g'), {split_mark})"
-        char = (
-            "CASE WHEN r LIKE '#x%' OR r LIKE '#X%' THEN chr(CAST(('0x' || substr(r, 3)) AS INTEGER))"
-            " WHEN r LIKE '#%' THEN chr(CAST(substr(r, 2) AS INTEGER)) ELSE entities[r] END"
-        )
-        piece = (
-            f"list_transform([regexp_extract(piece, {lit(html.REFERENCE)}, 1)], lambda r: "
-            f"CASE WHEN r = '' OR ({char}) IS NULL THEN '&' || piece ELSE ({char}) || substr(piece, length(r) + 2) END)[1]"
-        )
-        decoded = (
-            "array_to_string(list_transform(string_split(node, '&'), lambda piece, i: "
-            f"CASE WHEN i = 1 THEN piece ELSE {piece} END), '')"
-        )
-        return (
-            f"array_to_string(list_filter(list_transform({nodes}, lambda node: trim({decoded}, {edges})), "
-            "lambda node: node <> ''), ' ')"
-        )
-
-    cut = f"regexp_replace(fragment, {lit('(?s)' + html.PARAGRAPH_END.replace('(?i)', '(?i)(?:', 1) + ').*')}, '')"
-    pieces = f"string_split(regexp_replace(page, {lit(html.PARAGRAPH)}, {split_mark}, 'g'), {split_mark})"
-    return f"""stripped AS (SELECT page_id, url, {body} AS page, MAP {{{names}}} AS entities FROM pages),
-fragments AS (
-  SELECT page_id, unnest(pieces[2:]) AS fragment,
-    generate_subscripts(pieces[2:], 1) AS i, entities
-  FROM (SELECT *, {pieces} AS pieces FROM stripped)),
+    number = "CASE WHEN regexp_matches(r, '^#[xX]') THEN CAST(('0x' || substr(r, 3)) AS BIGINT) ELSE CAST(substr(r, 2) AS BIGINT) END"
+    char = (f"CASE WHEN r LIKE '#%' THEN list_transform([{number}], lambda v: CASE WHEN v BETWEEN 55296 AND 57343 THEN chr(65533) "
+            "WHEN v BETWEEN 1 AND 1114111 THEN coalesce(windows[CAST(v AS INTEGER)], chr(CAST(v AS INTEGER))) END)[1] ELSE entities[r] END")
+
+    def front(pattern: str) -> str:
+        return (f"list_transform([regexp_extract(piece, {lit(pattern)}, 1)], lambda f: list_transform([rtrim(f, ';')], lambda r: "
+                f"CASE WHEN f <> '' THEN ({char}) || substr(piece, length(f) + 1) END)[1])[1]")
+
+    piece = f"coalesce({front(html.REFERENCE)}, {front(html.OLD_NAME)}, '&' || piece)"
+    decoded = f"array_to_string(list_transform(string_split(token, '&'), lambda piece, i: CASE WHEN i = 1 THEN piece ELSE {piece} END), '')"
+    return f"""tokens AS (
+  SELECT page_id, unnest(found) AS token, generate_subscripts(found, 1) AS nth
+  FROM (SELECT page_id, regexp_extract_all(html, {lit(html.token_pattern(False))}) AS found FROM pages)),
+kinds AS MATERIALIZED (
+  SELECT page_id, nth, token, CASE WHEN NOT regexp_matches(token, {lit(html.IS_TAG)}) THEN 'text'
+    WHEN regexp_matches(token, {lit(html.PARAGRAPH)}) THEN 'open' WHEN regexp_matches(token, {lit(html.PARAGRAPH_END)}) THEN 'close'
+    ELSE 'apart' END AS kind FROM tokens),
+placed AS MATERIALIZED (
+  SELECT *, count(*) FILTER (kind = 'open') OVER w AS paragraph, count(*) FILTER (kind IN ('open', 'close')) OVER w AS part,
+    count(*) FILTER (kind <> 'text') OVER w AS node FROM kinds
+  WINDOW w AS (PARTITION BY page_id ORDER BY nth)),
+nodes AS MATERIALIZED (
+  SELECT page_id, node, any_value(paragraph) AS paragraph, any_value(part) AS part,
+    string_agg(translate(token, chr(1) || chr(2) || chr(3), ''), '' ORDER BY nth) AS token
+  FROM placed WHERE kind = 'text' GROUP BY page_id, node),
+inside AS (SELECT page_id, nth, part, paragraph FROM placed WHERE kind = 'open'),
+shown AS MATERIALIZED (
+  SELECT page_id, node, part, trim({decoded}, {edges}) AS t
+  FROM (SELECT *, MAP {{{names}}} AS entities, MAP {{{windows}}} AS windows FROM nodes)),
 paragraphs AS (
-  SELECT page_id, i, {visible('cut_off')} AS t
-  FROM (SELECT page_id, i, entities, {cut} AS cut_off FROM fragments)),
-joined AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS t FROM paragraphs WHERE length(t) > 20 GROUP BY page_id),
+  SELECT page_id, part, string_agg(t, ' ' ORDER BY node) AS t FROM shown SEMI JOIN inside USING (page_id, part)
+  WHERE t <> '' GROUP BY page_id, part),
+joined AS (SELECT page_id, string_agg(t, chr(10) ORDER BY part) AS t FROM paragraphs WHERE length(t) > 20 GROUP BY page_id),
+whole AS (SELECT page_id, string_agg(t, ' ' ORDER BY node) AS t FROM shown WHERE t <> '' GROUP BY page_id),
 texts AS (
-  SELECT s.page_id, s.url, coalesce(j.t, {visible('s.page')}) AS content
-  FROM stripped s LEFT JOIN joined j USING (page_id))"""
+  SELECT p.page_id, p.url, CASE WHEN p.html IS NOT NULL THEN coalesce(j.t, w.t, '') END AS content
+  FROM pages p LEFT JOIN joined j USING (page_id) LEFT JOIN whole w USING (page_id))"""
 
 
 TITLE = """array_to_string(list_transform(
