@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from wartalens.operators import coherence, dictionary, document_topics, relevance, topics
 
 EPS = 1e-12
@@ -54,6 +55,25 @@ def test_window_measures_equal_brute_force(spark, width):
             assert got[k] == pytest.approx(brute(windows, terms)[measure], abs=1e-9)
 
 
+def test_all_models_and_measures_in_one_pass(spark):
+    """Each model counts the windows of its own documents; the texts are scanned once."""
+    rng = random.Random(8)
+    lists = [[rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 160))] for _ in range(40)] + [["k"] * 20, [], None]
+    models = [{0: ["a", "b", "c"], 1: ["c", "b", "d", "e"]}, {0: ["b", "a"], 1: ["f", "g", "h"], 2: ["e", "c", "g"]}]
+    docs = docs_of(spark, lists)
+    counts = coherence.count_pairs(docs, models, [110, 10, None])
+    assert plan_of(counts).count("Scan ExistingRDD\n") <= 1 and plan_of(counts).count("Generate (") == 1
+    for topics, row in zip(models, coherence.coherence_of_models(docs, models)):
+        got = row.first()
+        wanted = {t for terms in topics.values() for t in terms}
+        for measure, width in (("c_v", 110), ("c_uci", 10), ("c_npmi", 10)):
+            windows = windows_of([x or [] for x in lists], wanted, width)
+            mean = np.mean([brute(windows, terms)[measure] for terms in topics.values()])
+            assert got[f"coherence_{measure}"] == pytest.approx(mean, abs=1e-9)
+        alone = coherence.coherence_of_lists(docs, topics, "u_mass").agg(F.avg("coherence")).first()[0]
+        assert got["coherence_u_mass"] == pytest.approx(alone, abs=1e-9)
+
+
 def test_window_counts(spark):
     counts = lambda lists, width: {
         (r["topic_id"], r["a"], r["b"]): r["n"]

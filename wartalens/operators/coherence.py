@@ -1,129 +1,161 @@
 """Topic coherence: c_v, c_uci, c_npmi (sliding windows) and u_mass (documents).
 
-One pass over the documents counts windows, terms and pairs inside each row and ships
-only ``(topic, term, term, count)`` sums: topics x top terms squared keys, whatever
-the size of the corpus. Windows are never materialised. For a set S of terms the
-number of windows holding any of them is the length of the union of the start ranges
-of their occurrences; both range ends grow with the position, so a single walk gives
-it, and windows with both a and b number |a| + |b| - |a or b|.
+One pass over the documents counts windows, terms and pairs inside each row, for any number of models
+and window widths at once, and ships only ``(term, term, counts)`` sums: top terms times their
+partners, whatever the size of the corpus. Windows are never materialised. For a term the number of
+windows holding it is the length of the union of the start ranges of its occurrences; both range ends
+grow with the position, so one walk over the sorted positions gives it. A pair merges the two position lists
+and walks once: windows with both a and b number |a| + |b| - |a or b|. Each distinct pair of terms
+that share a topic is counted once, in however many topics and models it stands.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wartalens.functions.arrays import explode_rows, let
+from wartalens.functions.lookup import inline_map
 from wartalens.operators.topics import topic_terms
 from wartalens.session import stage
 
 EPSILON = 1e-12
 TOP_TERMS = 20
 WINDOWS = {"c_v": 110, "c_uci": 10, "c_npmi": 10}
+MEASURES = ("c_v", "c_uci", "c_npmi", "u_mass")
 NO_TOPIC = -1
 
+Topics = dict[int, list[str]]
 
-def _covered(ranges: Column) -> Column:
-    """Length of the union of ``struct(lo, hi)`` ranges whose ends do not decrease."""
+
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _covered(positions: Column, size: Column, width: int | None) -> Column:
+    """Windows of ``width`` that hold any of the sorted positions; without width: the document, if any."""
+    if width is None:
+        return F.when(F.size(positions) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    last = F.greatest(size - width, F.lit(0))
     return F.aggregate(
-        ranges,
-        F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).alias("last")),
-        lambda acc, x: F.struct(
-            (acc["total"] + F.greatest(x["hi"] - F.greatest(x["lo"], acc["last"] + 1) + 1, F.lit(0)))
-            .cast("long").alias("total"),
-            F.greatest(x["hi"], acc["last"]).alias("last"),
-        ),
+        positions,
+        F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).alias("upto")),
+        lambda acc, p: let(F.least(p, last), lambda hi: F.struct(
+            (acc["total"] + F.greatest(hi - F.greatest(p - (width - 1), acc["upto"] + 1, F.lit(0)) + 1, F.lit(0))).cast("long").alias("total"),
+            F.greatest(hi, acc["upto"]).alias("upto"),
+        )),
         lambda acc: acc["total"],
     )
 
 
-def _cell(topic: Column, a: Column, b: Column, n: Column) -> Column:
-    return F.struct(topic.alias("topic_id"), a.alias("a"), b.alias("b"), n.cast("long").alias("n"))
+class _Terms:
+    """Numbers of all top terms, the later partners of each, and the terms of each model."""
 
+    def __init__(self, models: Sequence[Topics]):
+        self.terms = sorted({term for topics in models for terms in topics.values() for term in terms})
+        self.number = {term: i for i, term in enumerate(self.terms)}
+        partners: list[set[int]] = [set() for _ in self.terms]
+        self.of_model = []
+        for topics in models:
+            self.of_model.append(sorted({self.number[t] for terms in topics.values() for t in terms}))
+            for terms in topics.values():
+                numbers = sorted({self.number[t] for t in terms})
+                for i, one in enumerate(numbers):
+                    partners[one].update(numbers[i + 1:])
+        self.partners = [sorted(p) for p in partners]
 
-def _document_cells(tokens: Column, topics: dict[int, list[str]], window: int | None) -> Column:
-    """Counts of one document as an array of ``struct(topic_id, a, b, n)``.
 
-    Terms: ``(-1, t, t)``. Pairs: ``(topic, a, b)`` with a < b. Windows: ``(-1, '', '')``.
+def _document_cells(tokens: Column, known: _Terms, number_of, widths: Sequence[int | None]) -> Column:
+    """Counts of one document as an array of ``struct(a, b, n0, n1, ...)``, one count per width.
+
+    Terms stand as ``(a, a)``, pairs as ``(a, b)`` with a < b, the windows of model j as ``(-1 - j, -1 - j)``.
     """
-    wanted = sorted({term for terms in topics.values() for term in terms})
-    groups = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.array(*[F.lit(t) for t in terms]).alias("terms"))
-        for k, terms in topics.items()
-    ])
-    no_topic = F.lit(NO_TOPIC)
+    named = lambda counts: [c.cast("long").alias(f"n{i}") for i, c in enumerate(counts)]
+    cell = lambda a, b, counts: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), *named(counts))
 
     def occurrences(t: Column) -> Column:
-        if window is None:
-            last = F.lit(0)
-            lo = lambda p: F.lit(0)
-        else:
-            last = F.greatest(F.size(t) - window, F.lit(0))
-            lo = lambda p: F.greatest(p - (window - 1), F.lit(0))
-        placed = F.transform(
-            t, lambda x, p: F.struct(x.alias("t"), lo(p).alias("lo"), F.least(p, last).alias("hi"))
-        )
-        return F.filter(placed, lambda x: x["t"].isin(wanted))
-
-    def pairs_of(group: Column, occ: Column) -> Column:
-        def counted(here: Column) -> Column:
-            present = F.transform(
-                F.array_sort(F.array_distinct(F.transform(here, lambda x: x["t"]))),
-                lambda t: F.struct(t.alias("t"), _covered(F.filter(here, lambda x: x["t"] == t)).alias("n")),
-            )
-
-            def with_later(one: Column, i: Column, all_present: Column) -> Column:
-                return F.transform(
-                    F.slice(all_present, i + 2, F.size(all_present)),
-                    lambda two: _cell(
-                        group["k"], one["t"], two["t"],
-                        one["n"] + two["n"]
-                        - _covered(F.filter(here, lambda x: (x["t"] == one["t"]) | (x["t"] == two["t"]))),
-                    ),
-                )
-
-            return let(
-                present,
-                lambda ps: F.flatten(F.transform(ps, lambda one, i: with_later(one, i, ps))),
-            )
-
-        return let(F.filter(occ, lambda x: F.array_contains(group["terms"], x["t"])), counted)
-
-    def cells(t: Column) -> Column:
-        if window is None:
-            windows, relevant_only = F.lit(1), False
-        else:
-            windows, relevant_only = F.greatest(F.size(t) - (window - 1), F.lit(1)), True
-
-        def from_occurrences(occ: Column) -> Column:
-            total = F.when((F.size(occ) > 0) | F.lit(not relevant_only), windows).otherwise(F.lit(0))
-            singles = F.transform(
-                F.array_distinct(F.transform(occ, lambda x: x["t"])),
-                lambda term: _cell(
-                    no_topic, term, term, _covered(F.filter(occ, lambda x: x["t"] == term))
-                ),
-            )
-            pairs = F.flatten(F.transform(groups, lambda g: pairs_of(g, occ)))
-            return F.concat(F.array(_cell(no_topic, F.lit(""), F.lit(""), total)), singles, pairs)
-
-        return let(occurrences(t), from_occurrences)
-
-    return let(tokens, cells)
+        placed = F.filter(F.transform(t, lambda x, p: F.struct(x.alias("t"), p.alias("p"))), lambda x: x["t"].isin(known.terms))
+        return F.array_sort(F.transform(placed, lambda x: F.struct(number_of(x["t"]).alias("a"), x["p"].alias("p"))))
+
+    def by_term(size: Column, found: Column) -> Column:
+        """``struct(a, p, n0, ...)`` per term of the document: number, sorted positions, counts."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1),
+                          lambda i: (i == 0) | (F.get(found, i)["a"] != F.get(found, i - 1)["a"]))
+        runs = let(starts, lambda s: F.zip_with(
+            s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(found))),
+            lambda start, end: F.struct(
+                F.get(found, start)["a"].alias("a"),
+                F.transform(F.slice(found, start + 1, end - start), lambda x: x["p"]).alias("p"))))
+        counted = F.transform(runs, lambda r: F.struct(r["a"], r["p"], *named([_covered(r["p"], size, w) for w in widths])))
+        none = F.array().cast("array<struct<a:int,p:array<int>" + "".join(f",n{i}:bigint" for i in range(len(widths))) + ">>")
+        return F.when(F.size(found) > 0, counted).otherwise(none)
+
+    def cells(size: Column, present: Column, numbers: Column) -> Column:
+        windows = []
+        for j, members in enumerate(known.of_model):
+            relevant = F.arrays_overlap(_literal(members, "array<int>"), numbers)
+            windows.append(cell(F.lit(-1 - j), F.lit(-1 - j), [
+                F.lit(1) if w is None else F.when(relevant, F.greatest(size - (w - 1), F.lit(1))).otherwise(F.lit(0)) for w in widths]))
+        singles = F.transform(present, lambda one: cell(one["a"], one["a"], [one[f"n{i}"] for i in range(len(widths))]))
+
+        def pair(one: Column, two: Column) -> Column:
+            return let(F.array_sort(F.concat(one["p"], two["p"])), lambda either: cell(one["a"], two["a"], [
+                one[f"n{i}"] + two[f"n{i}"] - _covered(either, size, w) for i, w in enumerate(widths)]))
+
+        def with_partners(one: Column) -> Column:
+            partners = F.get(_literal(known.partners, "array<array<int>>"), one["a"])
+            return F.transform(F.array_intersect(partners, numbers), lambda b: let(
+                F.get(present, (F.array_position(numbers, b) - 1).cast("int")), lambda two: pair(one, two)))
+
+        return F.concat(F.array(*windows), singles, F.flatten(F.transform(present, with_partners)))
+
+    def counted(t: Column) -> Column:
+        return let(F.size(t), lambda size: let(occurrences(t), lambda found: let(by_term(size, found), lambda present: let(
+            F.transform(present, lambda one: one["a"]), lambda numbers: cells(size, present, numbers)))))
+
+    return let(tokens, counted)
+
+
+def count_pairs(
+    docs: DataFrame, models: Sequence[Topics], widths: Sequence[int | None], tokens: str = "tokens"
+) -> DataFrame:
+    """``(model, a, b, n0, n1, ...)`` sums over all documents, one count per width, in one pass.
+
+    ``model`` is null for terms (``a = b``) and pairs (``a < b``); the windows of a model stand with its
+    position and null terms. ``None`` as width counts documents. Sliding windows are those of documents with at
+    least one term of the model; a document shorter than the window is one window.
+    """
+    known = _Terms(models)
+    spark = docs.sparkSession
+    listed = _literal([{"t": t, "a": str(i)} for i, t in enumerate(known.terms)], "array<struct<t:string,a:string>>")
+    found = inline_map(spark.range(1).select(F.inline(listed)), len(known.terms) + 1)
+    column = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    cells = _document_cells(column, known, lambda t: found(t).cast("int"), widths)
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(widths))]
+    summed = explode_rows(docs, [], cells, "x").select("x.*").groupBy("a", "b").agg(*sums)
+    term = lambda c: F.when(F.col(c) >= 0, F.get(_literal(known.terms, "array<string>"), F.col(c)))
+    return summed.select(
+        F.when(F.col("a") < 0, -1 - F.col("a")).alias("model"), term("a").alias("a"), term("b").alias("b"),
+        *[f"n{i}" for i in range(len(widths))])
 
 
 def term_cooccurrence(
-    docs: DataFrame, topics: dict[int, list[str]], window: int | None = None, tokens: str = "tokens"
+    docs: DataFrame, topics: Topics, window: int | None = None, tokens: str = "tokens"
 ) -> DataFrame:
-    """``(topic_id, a, b, n)`` sums over all documents; see :func:`_document_cells`.
+    """``(topic_id, a, b, n)`` sums over all documents for one model and width.
 
-    ``window=None`` counts documents. Sliding windows are those of documents with at
-    least one of the terms; a document shorter than the window is one window.
+    Terms: ``(-1, t, t)``. Pairs: ``(topic, a, b)`` with a < b. Windows: ``(-1, '', '')``.
     """
-    column = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-    exploded = explode_rows(docs, [], _document_cells(column, topics, window), "x").select("x.*")
-    return exploded.groupBy("topic_id", "a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
+    counts = stage(count_pairs(docs, [topics], [window], tokens).withColumnRenamed("n0", "n"), "cooccurrence")
+    alone = counts.filter("a IS NULL OR a = b").select(
+        F.lit(NO_TOPIC).alias("topic_id"), F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"), "n")
+    ranked = _ranked_terms(docs, topics)
+    first, second = (ranked.select("topic_id", F.col("term").alias(c)) for c in ("a", "b"))
+    pairs = counts.filter("a < b").join(first, "a").join(second, ["topic_id", "b"]).select("topic_id", "a", "b", "n")
+    return alone.unionByName(pairs).filter("n > 0")
 
 
 def top_term_lists(phi: DataFrame, topn: int = TOP_TERMS) -> dict[int, list[str]]:
@@ -144,23 +176,23 @@ def _ranked_terms(docs: DataFrame, topics: dict[int, list[str]]) -> DataFrame:
     return docs.sparkSession.range(1).select(F.inline(listed))
 
 
-def _pair_grid(docs: DataFrame, topics: dict[int, list[str]], window: int | None) -> DataFrame:
-    """All ordered pairs of top terms of a topic (a term with itself too), with probabilities."""
-    counts = stage(term_cooccurrence(docs, topics, window), "cooccurrence")
-    n_windows = counts.filter("topic_id = -1 AND a = ''").select(F.sum("n")).scalar()
-    singles = counts.filter("topic_id = -1 AND a <> ''").select("a", "n")
-    pairs = counts.filter("topic_id <> -1")
-    ranked = _ranked_terms(docs, topics)
+def _pair_grid(counts: DataFrame, topics: Topics, model: int = 0, width: int = 0) -> DataFrame:
+    """All ordered pairs of top terms of a topic (a term with itself too), with probabilities.
+
+    ``counts`` are those of :func:`count_pairs`, stored; ``width`` is the position of the window width in them.
+    """
+    counts = counts.withColumnRenamed(f"n{width}", "n")
+    n_windows = counts.filter(F.col("model") == model).select(F.max("n")).scalar()
+    singles = counts.filter("a = b")
+    pairs = counts.filter("a < b").select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("n").alias("n_pair"))
+    ranked = _ranked_terms(counts, topics)
     first = ranked.select("topic_id", F.col("rank").alias("rank_a"), F.col("term").alias("w_a"))
     second = ranked.select("topic_id", F.col("rank").alias("rank_b"), F.col("term").alias("w_b"))
-    both = pairs.select(
-        F.col("topic_id"), F.col("a").alias("low"), F.col("b").alias("high"), F.col("n").alias("n_pair")
-    )
     return (
         first.join(second, "topic_id")
         .withColumn("low", F.least("w_a", "w_b"))
         .withColumn("high", F.greatest("w_a", "w_b"))
-        .join(both, ["topic_id", "low", "high"], "left")
+        .join(pairs, ["low", "high"], "left")
         .join(singles.select(F.col("a").alias("w_a"), F.col("n").alias("n_a")), "w_a", "left")
         .join(singles.select(F.col("a").alias("w_b"), F.col("n").alias("n_b")), "w_b", "left")
         .withColumn("total", n_windows)
@@ -194,7 +226,8 @@ def coherence_of_lists(
     docs: DataFrame, topics: dict[int, list[str]], measure: str = "c_v", window: int | None = None
 ) -> DataFrame:
     width = None if measure == "u_mass" else (window or WINDOWS[measure])
-    return _measured(_pair_grid(docs, topics, width), measure)
+    counts = stage(count_pairs(docs, [topics], [width]), "cooccurrence")
+    return _measured(_pair_grid(counts, topics), measure)
 
 
 def _measured(grid: DataFrame, measure: str) -> DataFrame:
@@ -234,15 +267,22 @@ def coherence(docs: DataFrame, phi: DataFrame, measure: str = "c_v", topn: int =
     return coherence_by_topic(docs, phi, measure, topn).agg(F.avg("coherence").alias("coherence"))
 
 
+def coherence_of_models(
+    docs: DataFrame, models: Sequence[Topics], measures: Sequence[str] = MEASURES
+) -> list[DataFrame]:
+    """For each model one row with a column per measure; all come from one pass over the documents."""
+    widths = list(dict.fromkeys(WINDOWS.get(measure) for measure in measures))
+    counts = stage(count_pairs(docs, models, widths), "cooccurrence")
+    rows = []
+    for j, topics in enumerate(models):
+        means = [
+            _measured(_pair_grid(counts, topics, j, widths.index(WINDOWS.get(measure))), measure)
+            .agg(F.avg("coherence")).scalar().alias(f"coherence_{measure}") for measure in measures
+        ]
+        rows.append(docs.sparkSession.range(1).select(*means))
+    return rows
+
+
 def coherence_all(docs: DataFrame, phi: DataFrame, topn: int = TOP_TERMS) -> DataFrame:
-    """One row with ``c_v``, ``c_uci``, ``c_npmi`` and ``u_mass``; measures of one window share a pass."""
-    topics = top_term_lists(phi, topn)
-    grids: dict[int | None, DataFrame] = {}
-    values = []
-    for measure in ("c_v", "c_uci", "c_npmi", "u_mass"):
-        width = WINDOWS.get(measure)
-        if width not in grids:
-            grids[width] = _pair_grid(docs, topics, width)
-        mean = _measured(grids[width], measure).agg(F.avg("coherence"))
-        values.append(mean.scalar().alias(f"coherence_{measure}"))
-    return docs.sparkSession.range(1).select(*values)
+    """One row with ``c_v``, ``c_uci``, ``c_npmi`` and ``u_mass``, from one pass over the documents."""
+    return coherence_of_models(docs, [top_term_lists(phi, topn)])[0]
