@@ -145,6 +145,28 @@ def test_stream_equals_batch(spark, articles, store, tmp_path):
     assert got == sorted(map(key, topn_topics(scorer.theta(articles)).collect()))
 
 
+def test_stream_drops_later_copies_and_restarts(spark, articles, store, tmp_path):
+    """A copy in a later batch and, after a restart from the checkpoint, in a later run; the gate's status on each row."""
+    scorer = Scorer.load(store)
+    arrived, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "article_id long, url string, content string"
+    body = articles.filter("article_id = 0").first()["content"]
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+        stream_score(stream, scorer, out, state).awaitTermination()
+        return {r["doc_id"]: r["status"] for r in spark.read.parquet(out).collect()}
+
+    assert arrive([(1, "u1", body), (2, "u2", "harga pasar")]) == {1: "ok", 2: "too_few_tokens"}
+    seen = arrive([(3, "u1", body), (4, None, body), (5, "u3", "xyzzy plugh " * 40), (6, None, None)])
+    assert seen == {1: "ok", 2: "too_few_tokens", 4: "ok", 5: "no_vocabulary", 6: "too_few_tokens"}
+    assert set(arrive([(7, "u2", body), (8, "u3", body), (9, "u4", body), (10, None, body)])) == {1, 2, 4, 5, 6, 9, 10}
+    rows = spark.read.parquet(out)
+    assert rows.filter("status IN ('too_few_tokens', 'no_vocabulary')").filter("topic_id IS NOT NULL").count() == 0
+    assert rows.filter("doc_id = 9 AND rank = 1").count() == 1
+
+
 def test_rebuild_equals_stored_tokens(articles, store):
     key = lambda r: (r["doc_id"], tuple(r["tokens"]))
     assert sorted(map(key, rebuild_corpus(articles, store).collect())) == sorted(map(key, store.table("tokens").collect()))

@@ -86,18 +86,18 @@ def phi_table(model: LDAModel, vocab: DataFrame) -> DataFrame:
     return long.join(vocab.select("term_id", "term"), "term_id").select("topic_id", "term_id", "term", "prob")
 
 
-def theta_table(model: LDAModel, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(doc_id, theta, known)`` of every document.
+def theta_table(model: LDAModel, vectors: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, theta, known)`` of every document, and the columns in ``keep``.
 
     Documents without a vocabulary word get the normalised document prior and ``known = false``;
     ``article_gate`` tells them apart before scoring.
     """
     alpha = [float(a) for a in model.estimatedDocConcentration()]
     prior = F.array(*[F.lit(a / sum(alpha)) for a in alpha])
-    scored = model.transform(vectors.select(key, "features"))
-    theta = scored.select(key, vector_to_array("topicDistribution").alias("theta"))
+    scored = model.transform(vectors.select(key, *keep, "features"))
+    theta = scored.select(key, *keep, vector_to_array("topicDistribution").alias("theta"))
     known = F.exists("theta", lambda p: p > 0)
-    return theta.select(key, F.when(known, F.col("theta")).otherwise(prior).alias("theta"), known.alias("known"))
+    return theta.select(key, *keep, F.when(known, F.col("theta")).otherwise(prior).alias("theta"), known.alias("known"))
 
 
 def perplexity(model: LDAModel, vectors: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def _rebuild_corpus(spark, sf):
     articles = views.articles(spark, sf)
     store.save_table("stopwords", stopword_table(spark, views.STOPWORDS))
     store.save_text_options(KEPT_WHOLE, GIVEN_STEMS)
-    bigrams, trigrams = learn_phrases(stage(preprocess_documents(articles, views.STOPWORDS, KEPT_WHOLE, GIVEN_STEMS), "tokens"))
+    bigrams, trigrams = learn_phrases(
+        stage(preprocess_documents(articles, views.STOPWORDS, KEPT_WHOLE, GIVEN_STEMS), "tokens"), outer_words=True)
     store.save_table("bigrams", bigrams)
     store.save_table("trigrams", trigrams)
     return rebuild_corpus(articles, store)

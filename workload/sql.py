@@ -189,20 +189,30 @@ frequencies AS MATERIALIZED (
   FROM phi JOIN sizes USING (topic_id) GROUP BY term)"""
 
 
-def counted(prefix: str, source: str) -> str:
-    """``<prefix>counts`` and ``<prefix>scored`` of words and adjacent pairs of a ``(doc_id, pos, term)`` table."""
+def counted(prefix: str, source: str, outer: bool = False) -> str:
+    """``<prefix>counts`` and ``<prefix>scored`` of words and adjacent pairs of a ``(doc_id, pos, term)`` table.
+
+    ``outer`` scores a pair by its first and last plain word, with counts by the joined form.
+    """
+    scored = f"""{prefix}forms AS MATERIALIZED (SELECT replace(ngram, ' ', '_') AS form, CAST(sum(n) AS BIGINT) AS n FROM {prefix}counts GROUP BY 1),
+{prefix}scored AS (
+  SELECT split_part(p.ngram, ' ', 1) AS left_word, split_part(p.ngram, ' ', 2) AS right_word, f.n AS n_ab, a.n AS n_a, b.n AS n_b,
+    (f.n - 10) / a.n / b.n * (SELECT count(*) FROM {prefix}forms) AS score
+  FROM {prefix}counts p JOIN {prefix}forms f ON f.form = replace(p.ngram, ' ', '_')
+    JOIN {prefix}forms a ON a.form = split_part(f.form, '_', 1) JOIN {prefix}forms b ON b.form = split_part(f.form, '_', -1)
+  WHERE contains(p.ngram, ' ')),""" if outer else f"""{prefix}scored AS (
+  SELECT a.ngram AS left_word, b.ngram AS right_word, p.n AS n_ab, a.n AS n_a, b.n AS n_b,
+    (p.n - 10) / a.n / b.n * (SELECT count(*) FROM {prefix}counts) AS score
+  FROM {prefix}counts p JOIN {prefix}counts a ON a.ngram = split_part(p.ngram, ' ', 1)
+    JOIN {prefix}counts b ON b.ngram = split_part(p.ngram, ' ', 2)
+  WHERE contains(p.ngram, ' ')),"""
     return f"""{prefix}pairs AS MATERIALIZED (
   SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM {source}),
 {prefix}counts AS MATERIALIZED (
   SELECT ngram, count(*) AS n FROM (
     SELECT term AS ngram FROM {source} UNION ALL
     SELECT term || ' ' || following FROM {prefix}pairs WHERE following IS NOT NULL) GROUP BY ngram),
-{prefix}scored AS (
-  SELECT a.ngram AS left_word, b.ngram AS right_word, p.n AS n_ab, a.n AS n_a, b.n AS n_b,
-    (p.n - 10) / a.n / b.n * (SELECT count(*) FROM {prefix}counts) AS score
-  FROM {prefix}counts p JOIN {prefix}counts a ON a.ngram = split_part(p.ngram, ' ', 1)
-    JOIN {prefix}counts b ON b.ngram = split_part(p.ngram, ' ', 2)
-  WHERE contains(p.ngram, ' ')),
+{scored}
 {prefix}phrases AS MATERIALIZED (SELECT * FROM {prefix}scored WHERE score > 10)"""
 
 
@@ -229,7 +239,7 @@ def merged(prefix: str, source: str, phrases: str, target: str) -> str:
 
 PHRASES = (
     counted("bi_", "flat") + ",\n" + merged("m1_", "flat", "bi_phrases", "flat_bi") + ",\n"
-    + counted("tri_", "flat_bi") + ",\n" + merged("m2_", "flat_bi", "tri_phrases", "flat_tri")
+    + counted("tri_", "flat_bi", outer=True) + ",\n" + merged("m2_", "flat_bi", "tri_phrases", "flat_tri")
 )
 PHRASED = DOCS + ",\n" + PHRASES
 
@@ -330,3 +340,23 @@ TITLE = """array_to_string(list_transform(
 
 def with_(block: str, select: str) -> str:
     return f"WITH {block}\n{select}"
+
+
+DEDUPED_CORPUS = """deduped AS (SELECT * EXCLUDE (nth) FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY article_id) AS nth FROM articles) WHERE nth = 1),
+corpus AS MATERIALIZED (
+  SELECT * FROM deduped WHERE coalesce(content_len, 0) >= 100 AND content IS NOT NULL)"""
+#: A stored run: phrases and vocabulary learned on the selected corpus, applied to all articles; gate status of each.
+RUN = DOCS + ",\n" + DEDUPED_CORPUS + """,
+learned AS MATERIALIZED (SELECT * FROM flat WHERE doc_id IN (SELECT article_id FROM corpus)),
+""" + counted("bi_", "learned") + ",\n" + merged("m1_", "flat", "bi_phrases", "flat_bi") + """,
+learned_bi AS MATERIALIZED (SELECT * FROM flat_bi WHERE doc_id IN (SELECT article_id FROM corpus)),
+""" + counted("tri_", "learned_bi", outer=True) + ",\n" + merged("m2_", "flat_bi", "tri_phrases", "flat_tri") + """,
+run_vocab AS MATERIALIZED (
+  SELECT term FROM flat_tri WHERE doc_id IN (SELECT article_id FROM corpus) GROUP BY term
+  HAVING count(DISTINCT doc_id) >= 12 AND count(DISTINCT doc_id) <= floor(0.5 * (SELECT count(*) FROM corpus))),
+known AS MATERIALIZED (SELECT DISTINCT doc_id FROM flat_tri WHERE term IN (SELECT term FROM run_vocab)),
+gated AS MATERIALIZED (
+  SELECT d.doc_id, a.url, k.doc_id IS NOT NULL AS known, CASE WHEN len(d.tokens) < 30 THEN 'too_few_tokens'
+    WHEN k.doc_id IS NULL THEN 'no_vocabulary' WHEN coalesce(length(a.content), 0) < 100 THEN 'short_text' ELSE 'ok' END AS status
+  FROM docs d JOIN articles a ON a.article_id = d.doc_id LEFT JOIN known k ON k.doc_id = d.doc_id)"""

@@ -134,13 +134,13 @@ def _merge_phrases(spark, sf):
 
 @check("trigram_pass", sql.with_(sql.PHRASED, SCORED.format("tri_phrases")))
 def _trigram_pass(spark, sf):
-    return phrases.learn_phrases(views.staged_docs(spark, sf))[1]
+    return phrases.learn_phrases(views.staged_docs(spark, sf), outer_words=True)[1]
 
 
 @check("apply_phrases", sql.with_(sql.PHRASED, FLAT_TEXT.format("flat_tri")))
 def _apply_phrases(spark, sf):
     docs = views.staged_docs(spark, sf)
-    return phrases.apply_phrases(docs, *phrases.learn_phrases(docs)).select("doc_id", "tokens")
+    return phrases.apply_phrases(docs, *phrases.learn_phrases(docs, outer_words=True)).select("doc_id", "tokens")
 
 
 @check("doc_frequency", sql.with_(sql.DOCS + ",\n" + sql.FREQ, "SELECT term, df, cf FROM freq"))
