@@ -182,6 +182,30 @@ def test_evaluate(articles, store):
     assert sum(r["document_count"] for r in tables["dominant_topics"].collect()) == 120
 
 
+def test_topic_map_of_a_stored_run(articles, store):
+    """Proportions by hand from theta and known words; the tables cover every topic, term and pair."""
+    tables = evaluate(articles, store, 3)
+    terms = {r["term"] for r in store.table("vocab").collect()}
+    lengths = {r["doc_id"]: sum(t in terms for t in r["tokens"]) for r in store.table("tokens").collect()}
+    weights = [0.0] * 3
+    for row in Scorer.load(store, 3).theta(articles).collect():
+        for topic, share in enumerate(row["theta"]):
+            weights[topic] += share * lengths[row["doc_id"]]
+    got = {r["topic_id"]: r["proportion"] for r in tables["topic_proportions"].collect()}
+    assert [got[k] for k in range(3)] == pytest.approx([w / sum(weights) for w in weights])
+    assert {r["term"] for r in tables["term_saliency"].collect()} == terms
+    assert sorted((r["topic_a"], r["topic_b"]) for r in tables["topic_distance"].collect()) == [(0, 1), (0, 2), (1, 2)]
+    assert {r["topic_id"] for r in tables["term_relevance"].collect()} == {0, 1, 2}
+
+
+def test_article_keys_that_are_no_numbers(spark):
+    from wartalens.sources.articles import conform
+
+    rows = conform(spark.createDataFrame([("a-1", "x"), ("a-2", "y"), ("a-1", "z"), ("12", "w"), (None, "v")], "article_id string, content string"))
+    keys = {r["content"]: r["article_id"] for r in rows.collect()}
+    assert keys["x"] == keys["z"] != keys["y"] and keys["w"] == 12 and keys["v"] is None and None not in (keys["x"], keys["y"])
+
+
 def test_sampled_training_corpus(spark, articles, tmp_path):
     options = TrainOptions(ks=(2,), sample=40, no_below=2, no_above=1.0, passes=1, min_count=10_000)
     assert train(articles, str(tmp_path / "s"), options).table("tokens").count() == 40

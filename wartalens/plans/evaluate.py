@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wartalens.operators import corpus_stats, document_topics, topics
+from wartalens.operators import corpus_stats, document_topics, relevance, topics
 from wartalens.operators.coherence import coherence_all
-from wartalens.operators.dictionary import bow_vectors, vocabulary_terms
+from wartalens.operators.dictionary import bow_vectors, doc2bow, vocabulary_terms
 from wartalens.operators.lda import perplexity, phi_table, theta_table
 from wartalens.operators.phrases import apply_phrases
 from wartalens.operators.preprocess import preprocess_documents
@@ -50,6 +50,8 @@ def evaluate(articles: DataFrame, store: ModelStore, k: int | None = None) -> di
     phi = stage(phi_table(model, vocab), "phi")
     vectors = bow_vectors(docs, vocabulary_terms(vocab))
     theta = stage(theta_table(model, vectors), "theta")
+    lengths = doc2bow(docs, vocab).groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    sizes = stage(relevance.topic_weights(theta, lengths), "sizes")      # one row per topic
     return {
         "corpus_stats": corpus_stats.corpus_stats(articles),
         "portal_counts": corpus_stats.portal_counts(articles),
@@ -65,6 +67,10 @@ def evaluate(articles: DataFrame, store: ModelStore, k: int | None = None) -> di
             theta, articles.select(F.col("article_id").alias("doc_id"), "released"), len(
                 model.estimatedDocConcentration())
         ),
+        "topic_proportions": relevance.topic_proportions(sizes),
+        "term_saliency": relevance.term_saliency(phi, sizes),
+        "term_relevance": relevance.term_relevance(phi, sizes),
+        "topic_distance": relevance.topic_distance(phi),
         "model_metrics": model_metrics(
             docs, phi, vocab, [perplexity(model, vectors), document_topics.entropy_summary(theta)]
         ),
