@@ -193,3 +193,58 @@ def test_pipeline(spark, awkward, empty):
     for table in (awkward, empty):
         for name, step in corpus_pipeline.STAGES:
             table = corpus_pipeline.stage(step(spark, table, SF), name)
+
+
+def test_curve_pools_falling_rates():
+    votes, marks = np.asarray([0.0] * 8 + [.2] * 4 + [.4] * 4 + [.9] * 4), np.asarray([0] * 8 + [1, 1, 0, 0, 1, 0, 0, 0] + [1] * 4)
+    at, rate = toxicity.calibrated(votes, marks.astype(float))
+    assert at == pytest.approx([0, .3, .9]) and rate == pytest.approx([.5 / 9, 3.5 / 9, 4.5 / 5])
+
+
+def test_toxicity_by_plain_loops(spark):
+    """Fit and scores against the definition: all frequent terms, cosine with every example, leave-one-out curve."""
+    draw = random.Random(11)
+    stems = ["nord", "sued", "berg", "talwasser", "himmel", "haus", "garten", "strasse"]
+    word = lambda bad: draw.choice(["grimwort", "grimmig", "grimzahn"] if bad and draw.random() < .3 else stems) + draw.choice("abcdef")
+    rows = [(i, " ".join(word(i % 4 == 0) for _ in range(draw.randint(5, 40)))) for i in range(150)]
+    rows += [(150, rows[1][1]), (151, None), (152, ""), (153, "12 !")]
+    marks = {i: int(i % 4 == 0) for i, _ in rows} | {150: 1}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(marks.items()), "doc_id bigint, toxic int"), least_share=0.05)
+    taught = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            first, mark = taught.get(t or "", (i, 0))
+            taught[t or ""] = min(first, i), max(mark, marks[i])
+
+    def terms(text):
+        out = Counter()
+        for w in WORD.findall((text or "").lower()):
+            out.update([w, *("^" + w[:k] for k in (4, 5, 6, 7) if len(w) > k)])
+        return out
+
+    held = Counter(t for text in taught for t in terms(text))
+    known = {t: n for t, n in held.items() if n >= max(2, int(np.ceil(0.05 * len(taught))))}
+    assert set(model.terms) == set(known)
+
+    def vector(text):
+        raw = {t: c * (np.log((1 + len(taught)) / (1 + known[t])) + 1e-3) for t, c in terms(text).items() if t in known}
+        length = np.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / length for t, x in raw.items()}
+
+    examples = [(vector(t), first, mark) for t, (first, mark) in taught.items() if vector(t)]
+
+    def vote(own, without=None):
+        near = sorted(((sum(w * other.get(t, 0.0) for t, w in own.items()), mark) for other, first, mark in examples
+                       if first != without), key=lambda x: -x[0])[:toxicity.NEIGHBOURS]
+        total = sum(s * s for s, _ in near)
+        return sum(s * s * mark for s, mark in near) / total if total else 0.0
+
+    votes = np.asarray([vote(own, first) for own, first, _ in examples])
+    curve = toxicity.calibrated(votes, np.asarray([float(m) for *_, m in examples]))
+    assert np.all(np.diff(curve[0]) > 0) and np.all(np.diff(curve[1]) >= 0)
+    assert np.allclose(model.curve[0], curve[0], atol=1e-4) and np.allclose(model.curve[1], curve[1], atol=1e-4)
+    for r in toxicity.score_documents(docs, model).collect():
+        own = vector(dict(rows)[r["doc_id"]])
+        want = 0.999 * np.interp(vote(own), *curve) + 0.001 * vote(own) if own else model.rate
+        assert r["score"] == pytest.approx(want, abs=2e-3)

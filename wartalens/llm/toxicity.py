@@ -1,39 +1,43 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms of a text are its words and the beginnings and ends of its words. Labelled examples tell which
-terms say anything about the label (log-likelihood ratio); over these terms every example is a
-TF-IDF vector of length 1. The examples are held in an inverted index cut into blocks with the
-largest weight of every term per block. A query adds up the block bounds, opens blocks from
+Terms of a text are its words and the beginnings of its words. A term that at least ``least_share``
+of the labelled examples hold counts in every vector, whatever the labels say of it; weights are counts times
+inverse document frequency, vectors have length 1. The examples are held in an inverted index cut into
+blocks with the largest weight of every term per block. A query adds up the block bounds, opens blocks from
 the highest bound down and stops when no unopened block can reach the k-th best example: the
-neighbours are exact. Their votes, weighted by similarity and smoothed by the rate among examples
-without any term, give the score; the neighbours and the terms found are the evidence.
+neighbours are exact. They vote by squared similarity. How often a vote is right is learned from the
+examples themselves, each voted on by the others (isotonic curve), so scores are probabilities. The
+neighbours and the terms shared with the toxic ones are the evidence.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from wartalens.llm.bpe import Memory
 from wartalens.llm.common import prepare_python, quoted
 from wartalens.llm.decontaminate import DELIMITERS
 from wartalens.session import stage
 
-EXAMPLES = 12_000                     # expected number of labelled documents the classifier is fitted on
-TERMS = 4096                          # most telling terms kept
-LEAST_RATIO = 18.0                    # log-likelihood ratio of a term
-LEAST_DOCS = 4                        # examples a term must occur in
-NEIGHBOURS = 25
-BLOCK = 64
+EXAMPLES = 2_000                      # expected number of labelled documents the classifier is fitted on
+LEAST_SHARE = 0.01                    # part of the examples that must hold a term (two examples at least)
+NEIGHBOURS = 16
+BLOCK = 128
+STARTS = (4, 5, 6, 7)                 # lengths of word beginnings
 RESULT = "score double, neighbours array<bigint>, terms array<string>"
+REMEMBERED = 50_000                   # results of repeated texts kept per process
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,45 +45,49 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_terms(word: bytes) -> list[str]:
-    """The word, its first 4, 5 and 6 letters and its last 4 and 5, each marked."""
+    """The word, and its beginnings, marked."""
     w = word.decode("utf-8", "replace")
-    n = len(w)
-    return [f"={w}", *(f"^{w[:k]}" for k in (4, 5, 6) if n > k), *(f"{w[-k:]}$" for k in (4, 5) if n > k)]
+    return [w, *(f"^{w[:k]}" for k in STARTS if k < len(w))]
 
 
 @dataclass
 class Model:
-    """Terms with weights, examples as sparse rows, and the counts of examples without any term."""
+    """Terms with weights, examples as rows of one sparse matrix, and the curve from vote to score."""
 
     terms: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.empty(0))
-    #: per distinct example vector: term numbers, weights, rows, toxic rows, smallest key
-    examples: list[tuple[tuple[int, ...], tuple[float, ...], int, int, int | None]] = field(default_factory=list)
-    plain: int = 0
-    plain_toxic: int = 0
-
-    @property
-    def prior(self) -> float:
-        return (self.plain_toxic + 0.5) / (self.plain + 1.0) if self.plain else 0.5 if not self.examples else 0.05
-
-    def vector(self, counts: dict[int, int]) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    #: example ``i`` holds ``numbers[ends[i]:ends[i + 1]]`` with the weights at the same places
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    numbers: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    toxic: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    #: score of a text that no example resembles, and of every text where labels are all alike
+    rate: float = 0.0
+    curve: tuple[np.ndarray, np.ndarray] | None = None
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[i], self.ends[i + 1])
+        return self.numbers[part], self.weights[part]
+
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """TF-IDF vector of length 1, terms ascending."""
-        numbers = sorted(counts)
-        raw = [(1.0 + math.log(counts[t])) * self.idf[t] for t in numbers]
-        length = math.sqrt(sum(x * x for x in raw))
-        return tuple(numbers), tuple(round(x / length, 9) for x in raw)
+        numbers = np.fromiter(sorted(counts), np.int64, len(counts))
+        raw = np.fromiter((counts[t] for t in numbers.tolist()), np.float64, len(counts)) * self.idf[numbers]
+        length = math.sqrt(float(raw @ raw))
+        return numbers, raw / length if length else raw
 
 
 class BlockMaxIndex:
     """Exact top-k by inner product over sparse examples."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], tuple[float, ...]]], n_terms: int, block: int = BLOCK):
+    def __init__(self, rows: list[tuple], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(rows), block
-        self.n_blocks = -(-len(rows) // block)
-        sizes = [len(numbers) for numbers, _ in rows]
-        terms = np.fromiter((t for numbers, _ in rows for t in numbers), np.int64, sum(sizes))
-        weights = np.fromiter((w for _, own in rows for w in own), np.float64, sum(sizes))
-        examples = np.repeat(np.arange(self.n), sizes)
+        self.n_blocks = -(-self.n // block)
+        terms = np.concatenate([np.empty(0, np.int64), *(np.asarray(numbers, np.int64) for numbers, _ in rows)])
+        weights = np.concatenate([np.empty(0), *(np.asarray(own, np.float64) for _, own in rows)])
+        examples = np.repeat(np.arange(self.n), [len(numbers) for numbers, _ in rows])
         order = np.lexsort((examples, terms))
         self.ids, self.weights = examples[order], weights[order]
         # postings lie by term and example; a cell is the part of a term's list inside one block
@@ -101,7 +109,7 @@ class BlockMaxIndex:
         found = np.flatnonzero(score)
         return found, np.round(score[found], 9)
 
-    def search(self, numbers: tuple[int, ...], weights: tuple[float, ...], k: int) -> list[tuple[float, int]]:
+    def search(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` best ``(score, example)`` with a score above 0, ties by example number."""
         terms, own = np.asarray(numbers, np.int64), np.asarray(weights, np.float64)
         bound = own @ self.most[terms]
@@ -125,16 +133,14 @@ class BlockMaxIndex:
 
 
 class Scorer:
-    """Scores of texts under a model; built once per Python process."""
+    """Scores of texts under a model."""
 
     def __init__(self, model: Model):
         self.model = model
         self.names = list(model.terms)
-        order = sorted(model.examples, key=lambda e: (e[0], e[1]))
-        self.examples = order
-        self.index = BlockMaxIndex([(e[0], e[1]) for e in order], len(model.terms))
+        self.index = BlockMaxIndex([model.example(i) for i in range(len(model.keys))], len(model.terms))
         self.of_word = Memory(self._numbers, 100_000)
-        self.of_vector = Memory(lambda v: self._vote(*v), 50_000)
+        self.seen: dict[bytes, tuple[float, list[int], list[str]]] = {}
 
     def _numbers(self, word: bytes) -> tuple[int, ...]:
         known = self.model.terms
@@ -142,44 +148,92 @@ class Scorer:
 
     def counts(self, text: str | None) -> dict[int, int]:
         """Known terms of a text with their counts."""
-        found = words(text)
-        out: dict[int, int] = {}
-        telling = {w: numbers for w in set(found) if (numbers := self.of_word[w])}
-        if telling:
-            for w, c in Counter(filter(telling.__contains__, found)).items():
-                for n in telling[w]:
-                    out[n] = out.get(n, 0) + c
-        return out
-
-    def _vote(self, numbers: tuple[int, ...], weights: tuple[float, ...]) -> tuple[float, list[int]]:
-        near = self.index.search(numbers, weights, NEIGHBOURS)
-        prior, toxic, total = self.model.prior, 0.0, 0.0
+        return Counter(chain.from_iterable(map(self.of_word.__getitem__, words(text))))
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """Share of the toxic ones among the neighbours, by squared similarity; 0 without any."""
+        total = sum(s * s for s, _ in near)
+        return sum(s * s for s, i in near if self.model.toxic[i]) / total if total else 0.0
+
+    def without(self, example: int) -> float:
+        """Vote of the other examples on one of them."""
+        near = self.index.search(*self.model.example(example), NEIGHBOURS + 1)
+        return self.vote([(s, i) for s, i in near if i != example][:NEIGHBOURS])
+
+    def _shared(self, numbers: np.ndarray, weights: np.ndarray, near: list[tuple[float, int]]) -> list[str]:
+        """The five terms that say most of the likeness to toxic neighbours."""
+        theirs = np.zeros(len(self.names))
         for similarity, i in near:
-            _, _, rows, toxic_rows, _ = self.examples[i]
-            toxic += similarity ** 2 * toxic_rows
-            total += similarity ** 2 * rows
-        return (toxic + prior) / (total + 1.0), [self.examples[i][4] for _, i in near[:5]]
+            if self.model.toxic[i]:
+                terms, own = self.model.example(i)
+                theirs[terms] += similarity * own
+        worth = weights * theirs[numbers]
+        best = np.argsort(-worth, kind="stable")[:5]
+        return [self.names[numbers[b]] for b in best if worth[b] > 0]
 
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        counts = self.counts(text)
-        if not counts:
-            return self.model.prior, [], []
-        score, near = self.of_vector[self.model.vector(counts)]
-        return score, near, [self.names[t] for t in sorted(counts)]
+        model = self.model
+        if model.curve is None or not text:
+            return model.rate, [], []
+        mark = xxh3_128_digest(text.encode("utf-8", "replace"))
+        found = self.seen.get(mark)
+        if found is None:
+            counts = self.counts(text)
+            numbers, weights = model.vector(counts)
+            near = self.index.search(numbers, weights, NEIGHBOURS) if counts else []
+            score = scored(self.vote(near), model.curve) if near else model.rate
+            found = score, [int(model.keys[i]) for _, i in near[:5]], self._shared(numbers, weights, near) if near else []
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[mark] = found
+        return found
+
+
+_kept: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """Scorer of a model, built once per Python process; the latest model's stays."""
+    if model.name not in _kept:
+        _kept.clear()
+        _kept[model.name] = Scorer(model)
+    return _kept[model.name]
+
+
+def scored(vote: float, curve: tuple[np.ndarray, np.ndarray]) -> float:
+    """Score of a vote: the curve between its knots, and a thousandth of the vote to keep apart what the curve joins."""
+    return 0.999 * float(np.interp(vote, *curve)) + 0.001 * vote
+
+
+def calibrated(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising curve of the label over the vote: neighbouring votes are pooled while their rates fall (isotonic regression).
+
+    Knots are the mean vote and the rate of each pool, rates drawn to one half by half an example of each label.
+    """
+    pools: list[list[float]] = []                  # examples, sum of votes, toxic ones
+    for vote in np.unique(votes):
+        same = votes == vote
+        pools.append([float(same.sum()), float(votes[same].sum()), float(toxic[same].sum())])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    at = np.asarray(pools)
+    return at[:, 1] / at[:, 0], np.maximum.accumulate((at[:, 2] + 0.5) / (at[:, 0] + 1.0))
 
 
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(quoted(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-        label_key: str = "doc_id", label: str = "toxic", examples: int = EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label_key: str = "doc_id",
+        label: str = "toxic", examples: int = EXAMPLES, least_share: float = LEAST_SHARE) -> Model:
     """Model from labelled documents that are not held out.
 
     Fitted on a sample of about ``examples`` labelled keys, drawn by hash (all, if fewer); the sample of
     keys is broadcast, its size being bounded by that parameter, so no text is shuffled. Null keys
-    and labels are left out, a key labelled twice takes its highest label, equal texts are one
-    example with the highest label. Without labels the model has no terms.
+    and labels are left out, a key labelled twice takes its highest label. Equal texts are one
+    example with the highest label, so that copies don't outvote others; texts without a frequent term are none.
+    Where all labels are alike every text scores their rate, without labels 0.
     """
     spark = docs.sparkSession
     prepare_python(spark)
@@ -196,86 +250,82 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         .groupBy(F.coalesce("_text", F.lit("")).alias("text"))
         .agg(F.min(F.col("_id").cast("bigint")).alias("id"), F.max("_label").alias("label"))
         .select("id", "text", "label"), "toxic-examples")
+    rows, bad = sample.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
+    if not 0 < bad < rows:
+        return Model(rate=bad / rows if rows else 0.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: Counter = Counter()
         for batch in batches:
-            for content, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {t for w in set(words(content)) for t in word_terms(w)}
-                seen[1 if mark else 0].update(own)
-                seen[1 if mark else 0][""] += 1
-        terms = list(seen[0] | seen[1])
+            for content in batch.column(0).to_pylist():
+                seen.update({t for w in set(words(content)) for t in word_terms(w)})
+        terms = list(seen)
         for i in range(0, len(terms), 50_000):
             part = terms[i:i + 50_000]
             yield pa.RecordBatch.from_pydict({
-                "term": pa.array(part, pa.string()),
-                "pos": pa.array([seen[1][t] for t in part], pa.int64()),
-                "neg": pa.array([seen[0][t] for t in part], pa.int64()),
-            })
+                "term": pa.array(part, pa.string()), "n": pa.array([seen[t] for t in part], pa.int64())})
 
-    counted = stage(
-        sample.select("text", "label").mapInArrow(count, "term string, pos bigint, neg bigint")
-        .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter((F.col("pos") + F.col("neg") >= LEAST_DOCS) | (F.col("term") == "")), "toxic-terms")
-    whole = counted.filter("term = ''").first()
-    if whole is None or not whole["pos"] or not whole["neg"]:
-        rows, toxic = (whole["pos"] + whole["neg"], whole["pos"]) if whole else (0, 0)
-        return Model(plain=rows, plain_toxic=toxic)
-    all_pos, all_neg = float(whole["pos"]), float(whole["neg"])
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    n, everything = F.col("pos") + F.col("neg"), all_pos + all_neg
-    rest = F.lit(everything) - n
-    ratio = 2 * (
-        part(F.col("pos"), n * all_pos / everything) + part(F.col("neg"), n * all_neg / everything)
-        + part(all_pos - F.col("pos"), rest * all_pos / everything) + part(all_neg - F.col("neg"), rest * all_neg / everything)
-    )
-    # more frequent with the label than without: what speaks for it
-    telling = F.col("pos") * all_neg > F.col("neg") * all_pos
     chosen = (
-        counted.filter("term <> ''").filter(telling).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "term").limit(TERMS).select("term", "pos", "neg").collect()
+        sample.select("text").mapInArrow(count, "term string, n bigint")
+        .groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, math.ceil(least_share * rows)))
+        .toArrow().sort_by("term").to_pydict()
     )
     model = Model(
-        terms={r["term"]: i for i, r in enumerate(chosen)},
-        idf=np.asarray([math.log((1 + everything) / (1 + r["pos"] + r["neg"])) + 1e-3 for r in chosen]),
-    )
+        terms={t: i for i, t in enumerate(chosen["term"])}, rate=bad / rows,
+        idf=np.asarray([math.log((1 + rows) / (1 + n)) + 1e-3 for n in chosen["n"]], np.float64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
-            counts = [scorer.counts(t) for t in batch.column(1).to_pylist()]
-            rows = [model.vector(c) if c else ((), ()) for c in counts]
+            found = [model.vector(scorer.counts(t)) for t in batch.column(1).to_pylist()]
+            # examples whose heaviest terms are the same lie together, which keeps block bounds low
+            heavy = [n[np.lexsort((n, -w))[:3]] for n, w in found]
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0), "label": batch.column(2),
-                "terms": pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                "weights": pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                "place": pa.array(heavy, pa.list_(pa.int32())),
+                "terms": pa.array([n for n, _ in found], pa.list_(pa.int32())),
+                "weights": pa.array([np.round(w, 9) for _, w in found], pa.list_(pa.float64())),
             })
 
-    # one row per distinct vector; the sample bounds them
-    found = (
-        sample.mapInArrow(vectors, "id bigint, label int, terms array<int>, weights array<double>")
-        .groupBy("terms", "weights").agg(
-            F.count("*").alias("rows"), F.count_if(F.col("label") > 0).alias("toxic"), F.min("id").alias("first"))
-        .collect()
-    )
-    for r in found:
-        if r["terms"]:
-            model.examples.append((tuple(r["terms"]), tuple(r["weights"]), r["rows"], r["toxic"], r["first"]))
-        else:
-            model.plain, model.plain_toxic = r["rows"], r["toxic"]
+    # the sample and the terms bound this table
+    placed = sample.mapInArrow(
+        vectors, "id bigint, label int, place array<int>, terms array<int>, weights array<double>").filter("size(terms) > 0")
+    table = placed.orderBy("place", "id").select("id", "label", "terms", "weights").toArrow().combine_chunks()
+    lengths = np.asarray([len(t) for t in table["terms"]], np.int64)
+    model.ends = np.concatenate([[0], np.cumsum(lengths)])
+    model.numbers = _flat(table["terms"], np.int32)
+    model.weights = _flat(table["weights"], np.float64)
+    model.toxic = (table["label"].to_numpy() > 0).astype(np.int8)
+    model.keys = table["id"].to_numpy()
+    model.name = uuid.uuid4().hex
+    if not 0 < model.toxic.sum() < len(model.toxic):
+        return Model(rate=bad / rows)
+    shared = spark.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column(0), "vote": pa.array([scorer.without(i) for i in batch.column(0).to_pylist()], pa.float64())})
+
+    voted = spark.range(len(model.keys)).mapInArrow(votes, "id bigint, vote double").toArrow().sort_by("id")
+    model.curve = calibrated(voted["vote"].to_numpy(), model.toxic.astype(np.float64))
+    model.rate = min(model.rate, scored(0.0, model.curve))
+    model.name = uuid.uuid4().hex
     return model
 
 
+def _flat(lists: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks)]).astype(kind)
+
+
 def score_column(text: Column, model: Model, spark) -> Column:
-    """Struct ``score, neighbours, terms`` of a text. Null, empty or plain texts score the rate of plain examples."""
+    """Struct ``score, neighbours, terms`` of a text. Null and empty texts, and those without a known term, score ``rate``."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for series in batches:
             yield pd.DataFrame([scorer.score(t) for t in series], columns=["score", "neighbours", "terms"])
 
@@ -294,6 +344,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Rows that score under ``threshold``; columns stay as they are."""
+    """Rows that score under ``threshold``; columns stay as they are. Null and empty texts score low and stay."""
     prepare_python(docs.sparkSession)
     return docs.filter(score_column(quoted(text), model, docs.sparkSession)["score"] < threshold)
