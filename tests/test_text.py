@@ -27,6 +27,14 @@ def test_base_clean(spark, raw, cleaned):
     assert one(spark, text.base_clean(F.lit(raw).cast("string"))) == cleaned
 
 
+@pytest.mark.parametrize("raw, folded", [
+    ("Москва", "Moskva"), ("Щука, Ёж и Юля", "Shchuka, Iozh i Iulia"), ("объявь", "ob'iav'"), ("Київ", "Kiyiv"), ("Ѝ й", "I i"),
+    ("Αθήνα", "Athena"), ("ψυχή Φως", "psukhe Phos"), ("ἄνθρωπος", "anthropos"), ("й й", "i i"), ("中文 أب Ж", "中文 أب Zh"),
+])
+def test_other_scripts(spark, raw, folded):
+    assert one(spark, text.fold_unicode(F.lit(raw))) == folded
+
+
 def test_clean_options(spark):
     assert one(spark, text.base_clean(F.lit("hari😀ini"), emoji_gap=False)) == "hariini"
     assert one(spark, text.base_clean(F.lit("Balik nama"), whole_word_lead=True)) == "balik nama"

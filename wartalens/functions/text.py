@@ -52,11 +52,33 @@ LETTER_FOLDS = {
     "―": "-", "•": "*", "·": "*",
     "\u00a0": " ", "\u2009": " ", "\u200b": " ", "\u202f": " ", "\u3000": " ",
 }
+# Latin spellings of Cyrillic and Greek letters, in alphabetical order. The signs ъ and ь are apostrophes.
+CYRILLIC = dict(zip(
+    "абвгдеёжзийклмнопрстуфхцчшщъыьэюяєії",
+    "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia ie i yi".split(), strict=True))
+GREEK = dict(zip(
+    "αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+
+
+def _script_folds() -> dict[str, str]:
+    """Both cases of the letters above, and their accented forms that are one character."""
+    small = CYRILLIC | GREEK
+    folds = small | {c.upper(): s.capitalize() for c, s in small.items() if c != "ς"}
+    for code in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+        char = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
+        if char not in folds and base in folds:
+            folds[char] = folds[base]
+    return folds
+
+
+SCRIPT_FOLDS = _script_folds()
+LONG_FOLDS = {char: spelling for char, spelling in SCRIPT_FOLDS.items() if len(spelling) > 1}
 
 
 def _single_folds() -> dict[str, str]:
-    """Letters whose Unicode decomposition is one ASCII character plus accents."""
-    folds = dict(LETTER_FOLDS)
+    """Letters of one ASCII letter, and those whose Unicode decomposition is one ASCII character plus accents."""
+    folds = LETTER_FOLDS | {char: spelling for char, spelling in SCRIPT_FOLDS.items() if len(spelling) == 1}
     for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
         char = chr(code)
         if char in folds or char in SIGN_FOLDS:
@@ -72,19 +94,25 @@ FOLD_FROM = "".join(SINGLE_FOLDS)
 FOLD_TO = "".join(SINGLE_FOLDS.values())
 LEAD_PATTERN = r"^\s*(?:" + "|".join(re.escape(w) for w in LEAD_PLACES + LEAD_PORTALS).replace(r"\ ", " ") + r")"
 LEAD_TAIL = r"\s*[,–-]*\s*"
+SCRIPTS = r"[\x{0370}-\x{052F}\x{1F00}-\x{1FFF}]"
 COMBINING = r"[\x{0300}-\x{036F}]"
 
 
 def fold_unicode(text: Column | str) -> Column:
-    """Zero-width space to space, Latin letters and typographic signs to ASCII.
+    """Zero-width space to space, Latin, Cyrillic and Greek letters and typographic signs to ASCII.
 
-    Pure ASCII text skips the character table. Letters of other scripts are kept
-    here and dropped by :func:`keep_letters`.
+    Pure ASCII text skips the character tables, text without Cyrillic and Greek the spellings of several
+    letters. Other scripts, and Cyrillic letters outside :data:`CYRILLIC`, are kept here and dropped
+    by :func:`keep_letters`.
     """
     def fold(column: Column) -> Column:
         folded = F.translate(column, FOLD_FROM, FOLD_TO)
         for sign, ascii_form in SIGN_FOLDS.items():
             folded = F.replace(folded, F.lit(sign), F.lit(ascii_form))
+        spelled = folded
+        for char, spelling in LONG_FOLDS.items():
+            spelled = F.replace(spelled, F.lit(char), F.lit(spelling))
+        folded = F.when(column.rlike(SCRIPTS), spelled).otherwise(folded)
         folded = F.regexp_replace(folded, COMBINING, "")
         return F.when(column.rlike(r"[^\x00-\x7F]"), folded).otherwise(column)
 

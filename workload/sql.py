@@ -26,7 +26,7 @@ def strip_emoji(c: str) -> str:
 
 def fold(c: str) -> str:
     out = f"translate({c}, {lit(text.FOLD_FROM)}, {lit(text.FOLD_TO)})"
-    for sign, ascii_form in text.SIGN_FOLDS.items():
+    for sign, ascii_form in (text.SIGN_FOLDS | text.LONG_FOLDS).items():
         out = f"replace({out}, {lit(sign)}, {lit(ascii_form)})"
     return sub(out, text.COMBINING, "")
 
