@@ -34,7 +34,7 @@ from wartalens.session import stage
 EXAMPLES = 2_000                      # expected number of labelled documents the classifier is fitted on
 LEAST_SHARE = 0.01                    # part of the examples that must hold a term (two examples at least)
 NEIGHBOURS = 16
-BLOCK = 128
+BLOCK = 256
 STARTS = (4, 5, 6, 7)                 # lengths of word beginnings
 RESULT = "score double, neighbours array<bigint>, terms array<string>"
 REMEMBERED = 50_000                   # results of repeated texts kept per process
@@ -71,10 +71,10 @@ class Model:
         part = slice(self.ends[i], self.ends[i + 1])
         return self.numbers[part], self.weights[part]
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """TF-IDF vector of length 1, terms ascending."""
-        numbers = np.fromiter(sorted(counts), np.int64, len(counts))
-        raw = np.fromiter((counts[t] for t in numbers.tolist()), np.float64, len(counts)) * self.idf[numbers]
+    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """TF-IDF vector of length 1 from the counts of all terms: those found, ascending, and their weights."""
+        numbers = np.flatnonzero(counts)
+        raw = counts[numbers] * self.idf[numbers]
         length = math.sqrt(float(raw @ raw))
         return numbers, raw / length if length else raw
 
@@ -109,6 +109,15 @@ class BlockMaxIndex:
         found = np.flatnonzero(score)
         return found, np.round(score[found], 9)
 
+    @staticmethod
+    def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` highest scores, falling, ties by id."""
+        if len(ids) > k:                   # only what reaches the k-th score is sorted
+            kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[kept], scores[kept]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
+
     def search(self, numbers: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` best ``(score, example)`` with a score above 0, ties by example number."""
         terms, own = np.asarray(numbers, np.int64), np.asarray(weights, np.float64)
@@ -124,9 +133,7 @@ class BlockMaxIndex:
             if not len(chosen):
                 break
             more, worth = self._open(terms, own, chosen)
-            ids, scores = np.append(ids, more), np.append(scores, worth)
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            ids, scores = self._best(np.concatenate([ids, more]), np.concatenate([scores, worth]), k)
             self.opened += len(chosen)
             at, step = at + step, step * 2
         return list(zip(scores.tolist(), ids.tolist(), strict=True))
@@ -139,16 +146,28 @@ class Scorer:
         self.model = model
         self.names = list(model.terms)
         self.index = BlockMaxIndex([model.example(i) for i in range(len(model.keys))], len(model.terms))
+        self.whole = {t: n for t, n in model.terms.items() if t[0] != "^"}
+        self.beginnings = {t[1:]: n for t, n in model.terms.items() if t[0] == "^"}
         self.of_word = Memory(self._numbers, 100_000)
         self.seen: dict[bytes, tuple[float, list[int], list[str]]] = {}
 
     def _numbers(self, word: bytes) -> tuple[int, ...]:
-        known = self.model.terms
-        return tuple(n for t in word_terms(word) if (n := known.get(t)) is not None)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Known terms of a text with their counts."""
-        return Counter(chain.from_iterable(map(self.of_word.__getitem__, words(text))))
+        """Known ones of ``word_terms``. Where a beginning is unknown all longer ones, and the word, are: no more texts hold them."""
+        w, found = word.decode("utf-8", "replace"), []
+        for k in STARTS:
+            if k >= len(w):
+                break
+            if (n := self.beginnings.get(w[:k])) is None:
+                return tuple(found)
+            found.append(n)
+        if (n := self.whole.get(w)) is not None:
+            found.append(n)
+        return tuple(found)
+
+    def counts(self, text: str | None) -> np.ndarray:
+        """Counts of all known terms in a text."""
+        found = chain.from_iterable(map(self.of_word.__getitem__, words(text)))
+        return np.bincount(np.fromiter(found, np.int64), minlength=len(self.names))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic ones among the neighbours, by squared similarity; 0 without any."""
@@ -180,7 +199,7 @@ class Scorer:
         if found is None:
             counts = self.counts(text)
             numbers, weights = model.vector(counts)
-            near = self.index.search(numbers, weights, NEIGHBOURS) if counts else []
+            near = self.index.search(numbers, weights, NEIGHBOURS) if len(numbers) else []
             score = scored(self.vote(near), model.curve) if near else model.rate
             found = score, [int(model.keys[i]) for _, i in near[:5]], self._shared(numbers, weights, near) if near else []
             if len(self.seen) >= REMEMBERED:
