@@ -13,7 +13,6 @@ neighbours and the terms shared with the toxic ones are the evidence.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,7 +64,6 @@ class Model:
     #: score of a text that no example resembles, and of every text where labels are all alike
     rate: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] | None = None
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.ends[i], self.ends[i + 1])
@@ -140,7 +138,7 @@ class BlockMaxIndex:
 
 
 class Scorer:
-    """Scores of texts under a model."""
+    """Scores of texts under a model. Built once a task (0.2 s): workers outlive a stage, and its memory should not."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -208,17 +206,6 @@ class Scorer:
         return found
 
 
-_kept: dict[str, Scorer] = {}
-
-
-def scorer_of(model: Model) -> Scorer:
-    """Scorer of a model, built once per Python process; the latest model's stays."""
-    if model.name not in _kept:
-        _kept.clear()
-        _kept[model.name] = Scorer(model)
-    return _kept[model.name]
-
-
 def scored(vote: float, curve: tuple[np.ndarray, np.ndarray]) -> float:
     """Score of a vote: the curve between its knots, and a thousandth of the vote to keep apart what the curve joins."""
     return 0.999 * float(np.interp(vote, *curve)) + 0.001 * vote
@@ -294,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         idf=np.asarray([math.log((1 + rows) / (1 + n)) + 1e-3 for n in chosen["n"]], np.float64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(model)
+        scorer = Scorer(model)
         for batch in batches:
             found = [model.vector(scorer.counts(t)) for t in batch.column(1).to_pylist()]
             # examples whose heaviest terms are the same lie together, which keeps block bounds low
@@ -316,13 +303,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     model.weights = _flat(table["weights"], np.float64)
     model.toxic = (table["label"].to_numpy() > 0).astype(np.int8)
     model.keys = table["id"].to_numpy()
-    model.name = uuid.uuid4().hex
     if not 0 < model.toxic.sum() < len(model.toxic):
         return Model(rate=bad / rows)
     shared = spark.sparkContext.broadcast(model)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0), "vote": pa.array([scorer.without(i) for i in batch.column(0).to_pylist()], pa.float64())})
@@ -330,7 +316,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     voted = spark.range(len(model.keys)).mapInArrow(votes, "id bigint, vote double").toArrow().sort_by("id")
     model.curve = calibrated(voted["vote"].to_numpy(), model.toxic.astype(np.float64))
     model.rate = min(model.rate, scored(0.0, model.curve))
-    model.name = uuid.uuid4().hex
     return model
 
 
@@ -344,7 +329,7 @@ def score_column(text: Column, model: Model, spark) -> Column:
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_of(shared.value)
+        scorer = Scorer(shared.value)
         for series in batches:
             yield pd.DataFrame([scorer.score(t) for t in series], columns=["score", "neighbours", "terms"])
 
