@@ -84,6 +84,25 @@ def test_more_passes_fit_better(spark):
     assert scores[0]["log_perplexity"] == -scores[0]["log_bound_per_word"]
 
 
+def test_updates_do_not_grow_with_the_documents(monkeypatch):
+    asked = []
+
+    class Recorded:
+        def __init__(self, **given):
+            asked.append((given["maxIter"], given["subsamplingRate"]))
+
+        def fit(self, vectors):
+            return None
+
+    monkeypatch.setattr(lda, "LDA", Recorded)
+    sizes = (100, 4_000, 50_000, 3_000_000)
+    for n in sizes:
+        lda.train_lda(None, n, passes=10, chunksize=2000)
+    assert [updates for updates, _ in asked] == [10, 20, 20, 20]
+    # ten passes of documents are drawn at every size
+    assert all(updates * rate == pytest.approx(10) for updates, rate in asked)
+
+
 def test_priors_and_update_bound(spark):
     prior = lda.asymmetric_prior(5)
     assert sum(prior) == pytest.approx(1.0) and prior == sorted(prior, reverse=True)
