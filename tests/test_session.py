@@ -32,3 +32,15 @@ def test_stage_keeps_rows_and_spread_only_small(spark):
     df = spark.range(10).withColumnRenamed("id", "doc_id")
     assert sorted(r["doc_id"] for r in session.stage(df).collect()) == list(range(10))
     assert session.spread(df, "doc_id").rdd.getNumPartitions() >= 1
+
+
+def test_spread_parts_grow_with_the_table(spark, monkeypatch):
+    df = spark.range(10).withColumnRenamed("id", "doc_id")
+    cores = spark.sparkContext.defaultParallelism
+    parts = []
+    for size in (1, 100 * session.SPREAD_BYTES, 1 << 60):
+        monkeypatch.setattr(session, "estimated_bytes", lambda _, size=size: size)
+        spread = session.spread(df, "doc_id")
+        parts.append(spread.rdd.getNumPartitions())
+        assert spread.count() == 10
+    assert parts == [cores, 100, df.rdd.getNumPartitions()]
