@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wartalens.functions import text
+from wartalens.functions import stemming, text
 from wartalens.functions.html import decode_entities, extract_article, url_title
 from wartalens.functions.stemming import stem_word
 from wartalens.functions.tokens import preprocess_text, stem_tokens, tokenize
@@ -63,6 +63,20 @@ def test_stem(spark, word, stem):
     assert one(spark, stem_word(F.lit(word))) == stem
 
 
+def test_words_without_affix_skip_the_rules_with_the_same_stems(spark):
+    fronts = ["", "1", "di", "ter", "me", "meny", "mem", "meng", "pe", "peny", "peng", "pel", "ke", "be", "bel", "ber", "bekera", "ba", "s"]
+    ends = ["", "kah", "lah", "pun", "ku", "mu", "nya", "kan", "an", "i", "s", "a", "kan\n"]
+    words = [a + middle + z for a in fronts for middle in ("ajar", "salo", "aneka", "x") for z in ends]
+    plain = F.col("w")
+    for pattern, replacement in stemming.RULES:
+        plain = F.regexp_replace(plain, pattern, replacement.replace("\\", "$"))
+    by_rules = F.when(F.col("w").rlike(stemming.MIN_SYLLABLES), plain).otherwise(F.col("w"))
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(
+        "w", stem_word("w").alias("stem"), by_rules.alias("ruled"), F.col("w").rlike(stemming.AFFIXES).alias("tried")).collect()
+    assert all(r["stem"] == r["ruled"] for r in rows)
+    assert any(r["stem"] != r["w"] for r in rows) and {r["w"] for r in rows if not r["tried"]} >= {"aneka", "basalos"}
+
+
 def test_stem_options(spark):
     tokens = F.array(F.lit("pemerintah"), F.lit("makanan"), F.lit("diberikan"))
     assert one(spark, stem_tokens(tokens, protected=["pemerintah"], overrides={"makanan": "santap"})) == [
