@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wartalens.llm.bpe import REMEMBERED_PIECES, Memory, packed, space_ends
+from wartalens.llm.bpe import REMEMBERED_PIECES, WHITE_SPACE, Memory, packed, space_ends
 from wartalens.llm.common import prepare_python, quoted
 from wartalens.session import new_path, stage
 
 READ_DOCS = 4096                      # documents per batch on reading back
 SLICE_BYTES = 8 << 20                 # text encoded at a time
 REMEMBERED_CUTS = 1_000_000           # distinct cuts whose ids a process remembers
+REMEMBERED_BYTES = 256 << 20          # and their text at most
+WHITE = "".join(WHITE_SPACE)
 SPACE_LETTER = "\u0120"               # how byte-level vocabularies spell a space
 
 
@@ -40,46 +42,54 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Cuts:
-    """Ids of cuts that follow a space, looked up by number; starts anew when it holds ``limit`` cuts.
+    """Ids of cuts that follow a space, looked up by number; starts anew when it holds ``limit`` cuts or ``most_bytes`` of text.
 
-    New cuts are encoded all at once, as one text of words with spaces between: only the first token of a
-    cut begins with a space. Cuts with white space at an end may not be looked at alone and have number 0,
-    which has no ids.
+    Cuts stay Arrow strings, known ones are found by Arrow's hash table. New cuts are encoded all at once, as one
+    text of words with spaces between: only the first token of a cut begins with a space. Cuts with white space at
+    an end may not be looked at alone and have number 0, which has no ids.
     """
 
-    def __init__(self, library, limit: int):
-        self.library, self.limit = library, limit
+    def __init__(self, library, limit: int, most_bytes: int = REMEMBERED_BYTES):
+        self.library, self.limit, self.most_bytes = library, limit, most_bytes
         size = library.get_vocab_size(with_added_tokens=True)
         self.opens = np.array([str(library.id_to_token(i)).startswith(SPACE_LETTER) for i in range(size)])
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.number = pa.array([], pa.string()), np.empty(0, np.int64)      # cuts, and the number of each
         self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)       # the ids of cut i end at ends[i]
 
-    def numbers(self, cuts: list[str]) -> np.ndarray:
-        if len(self.known) + len(cuts) > self.limit:
+    def numbers(self, cuts: pa.StringArray) -> np.ndarray:
+        """Numbers of different cuts."""
+        if len(self.known) + len(cuts) > self.limit or self.known.nbytes + cuts.nbytes > self.most_bytes:
             self._empty()
-        found = list(map(self.known.get, cuts))
-        new = [cut for cut, number in zip(cuts, found) if number is None]
-        if new:
-            self._learn(new)
-            found = list(map(self.known.__getitem__, cuts))
-        return np.array(found, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        sound = [cut for cut in new if not space_ends(cut)]
-        self.known.update((cut, 0) for cut in new)
+        place = pc.fill_null(pc.index_in(cuts, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            place[new] = len(self.known) + np.arange(np.count_nonzero(new))
+            self._learn(cuts.filter(pa.array(new)))
+        return self.number[place]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: pa.StringArray) -> None:
+        whole = pc.and_(pc.equal(pc.utf8_trim(new, characters=WHITE), new), pc.not_equal(new, "")).to_numpy(zero_copy_only=False)
+        sound = new.filter(pa.array(whole))
         ids, begins = np.empty(0, "<u4"), np.empty(0, np.int64)
-        if sound:
-            ids = np.array(self.library.encode(" " + " ".join(sound), add_special_tokens=False).ids, "<u4")
+        if len(sound):
+            spaced = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(sound)], pa.int32()), sound), " ")[0].as_py()
+            ids, = self._ids([" " + spaced])
             begins = np.flatnonzero(self.opens[ids])
-        if len(begins) != len(sound) or (sound and begins[0] != 0):              # a special token took a space along
-            each = [np.array(self.library.encode(" " + cut, add_special_tokens=False).ids, "<u4") for cut in sound]
+        if len(begins) != len(sound) or (len(sound) and begins[0] != 0):         # a special token took a space along
+            each = self._ids([" " + cut for cut in sound.to_pylist()])
             ids = np.concatenate(each)
             begins = np.cumsum([0, *map(len, each)])[:-1]
-        self.known.update(zip(sound, range(len(self.ends), len(self.ends) + len(sound))))
-        self.ends = np.append(self.ends, len(self.flat) + np.append(begins[1:], len(ids))) if sound else self.ends
+        numbers = np.zeros(len(new), np.int64)
+        numbers[whole] = len(self.ends) + np.arange(len(sound))
+        if len(sound):
+            self.ends = np.append(self.ends, len(self.flat) + np.append(begins[1:], len(ids)))
+        self.known, self.number = pa.concat_arrays([self.known, new]), np.append(self.number, numbers)
         self.flat = np.append(self.flat, ids)
 
 
@@ -126,7 +136,7 @@ class LibraryEncoder:
         own = np.zeros(len(distinct), bool)             # cuts that stand after a space somewhere
         own[kind[later]] = True
         numbers = np.zeros(len(distinct), np.int64)
-        numbers[own] = self.cuts.numbers(distinct.filter(pa.array(own)).to_pylist())
+        numbers[own] = self.cuts.numbers(distinct.filter(pa.array(own)))
         piece = numbers[kind]
 
         whole = np.zeros(len(texts), bool)              # texts for the library
