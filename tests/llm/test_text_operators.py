@@ -102,6 +102,17 @@ def test_block_max_search_is_exact():
     assert index.opened < opened
 
 
+def test_words_of_a_slice_are_looked_up_together(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 40)
+    texts = ["Straße naïve naïvely x", None, "", "hate hateful HATEFULLY", " , ", "the\nend the", "hate \ud800 \u0130stanbul"]
+    names = sorted({t for x in texts for w in toxicity.words(x) for t in toxicity.word_terms(w)} - {"x"})
+    scorer = toxicity.Scorer(toxicity.Model(terms={t: i for i, t in enumerate(names)}))
+    for text, counts in zip(texts, scorer.counts(texts), strict=True):
+        terms = [t for w in toxicity.words(text) for t in toxicity.word_terms(w)]
+        assert counts.tolist() == [terms.count(t) for t in names]
+    assert [len(c) for c in toxicity.Scorer(toxicity.Model()).counts(["a b", None])] == [0, 0]
+
+
 def test_toxicity(spark, awkward, empty):
     draw = random.Random(5)
     words = [f"word{i}" for i in range(300)]

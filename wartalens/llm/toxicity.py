@@ -16,16 +16,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from wartalens.llm.bpe import Memory
 from wartalens.llm.common import prepare_python, quoted
 from wartalens.llm.decontaminate import DELIMITERS
 from wartalens.session import stage
@@ -37,10 +36,16 @@ BLOCK = 256
 STARTS = (4, 5, 6, 7)                 # lengths of word beginnings
 RESULT = "score double, neighbours array<bigint>, terms array<string>"
 REMEMBERED = 50_000                   # results of repeated texts kept per process
+SLICE_BYTES = 2 << 20                 # text whose words are looked up at a time
+
+
+def delimited(text: str | None) -> bytes:
+    """The words of a text, spaces between them."""
+    return text.lower().encode("utf-8", "replace").translate(DELIMITERS) if text else b""
 
 
 def words(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(DELIMITERS).split() if text else []
+    return delimited(text).split()
 
 
 def word_terms(word: bytes) -> list[str]:
@@ -101,8 +106,10 @@ class BlockMaxIndex:
         cells = (numbers[:, None] * self.n_blocks + chosen).ravel()
         low = self.starts[cells]
         sizes = self.starts[cells + 1] - low
-        place = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        share = np.repeat(np.repeat(weights, len(chosen)), sizes) * self.weights[place]
+        place = np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+        place += np.arange(len(place))
+        share = self.weights[place]
+        share *= np.repeat(np.repeat(weights, len(chosen)), sizes)
         score = np.bincount(self.ids[place], share, self.n)
         found = np.flatnonzero(score)
         return found, np.round(score[found], 9)
@@ -144,28 +151,52 @@ class Scorer:
         self.model = model
         self.names = list(model.terms)
         self.index = BlockMaxIndex([model.example(i) for i in range(len(model.keys))], len(model.terms))
-        self.whole = {t: n for t, n in model.terms.items() if t[0] != "^"}
-        self.beginnings = {t[1:]: n for t, n in model.terms.items() if t[0] == "^"}
-        self.of_word = Memory(self._numbers, 100_000)
+        named = np.asarray(self.names, object)
+        begins = np.asarray([t[0] == "^" for t in self.names], bool)
+        #: words, and beginnings without their mark: the strings and the number of each term
+        self.whole = pa.array(named[~begins], pa.large_string()), np.append(np.flatnonzero(~begins), -1)
+        self.beginnings = pa.array([t[1:] for t in named[begins]], pa.large_string()), np.append(np.flatnonzero(begins), -1)
         self.seen: dict[bytes, tuple[float, list[int], list[str]]] = {}
 
-    def _numbers(self, word: bytes) -> tuple[int, ...]:
-        """Known ones of ``word_terms``. Where a beginning is unknown all longer ones, and the word, are: no more texts hold them."""
-        w, found = word.decode("utf-8", "replace"), []
-        for k in STARTS:
-            if k >= len(w):
-                break
-            if (n := self.beginnings.get(w[:k])) is None:
-                return tuple(found)
-            found.append(n)
-        if (n := self.whole.get(w)) is not None:
-            found.append(n)
-        return tuple(found)
-
-    def counts(self, text: str | None) -> np.ndarray:
-        """Counts of all known terms in a text."""
-        found = chain.from_iterable(map(self.of_word.__getitem__, words(text)))
-        return np.bincount(np.fromiter(found, np.int64), minlength=len(self.names))
+    def _numbers(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Terms of each word, one row a word: its beginnings and the word itself, -1 where a term is not known."""
+        def look(strings: pa.LargeStringArray, known: tuple[pa.LargeStringArray, np.ndarray]) -> np.ndarray:
+            terms, number = known
+            return number[pc.fill_null(pc.index_in(strings, value_set=terms, skip_nulls=True), -1).to_numpy()]
+
+        lengths = pc.utf8_length(words).to_numpy()
+        columns = [
+            np.where(lengths > k, look(pc.utf8_slice_codeunits(words, 0, k), self.beginnings), -1) for k in STARTS]
+        return np.stack([*columns, look(words, self.whole)], axis=1)
+
+    def counts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Counts of all known terms in each of the texts, which are taken in slices of about ``SLICE_BYTES``.
+
+        Arrow cuts the texts of a slice and numbers their different words, so that a word is looked up once a slice.
+        """
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and (not part or size < SLICE_BYTES):
+                part.append(delimited(texts[at]))
+                size += len(part[-1])
+                at += 1
+            yield from self._slice_counts(part)
+
+    def _slice_counts(self, part: list[bytes]) -> Iterator[np.ndarray]:
+        cut = pc.split_pattern(pa.array(part, pa.large_binary()).cast(pa.large_string()), " ")
+        numbered, n_words = cut.flatten().dictionary_encode(), cut.value_lengths().to_numpy()
+        known = self._numbers(numbered.dictionary)
+        sizes, flat = (known >= 0).sum(axis=1), known[known >= 0]
+        kind = numbered.indices.to_numpy()
+        taken = sizes[kind]
+        upto = np.cumsum(taken)
+        found = np.repeat((np.cumsum(sizes) - sizes)[kind] - (upto - taken), taken)
+        found += np.arange(len(found))
+        found = flat[found]
+        edges = np.append(0, upto)[np.append(0, np.cumsum(n_words))]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield np.bincount(found[low:high], minlength=len(self.names))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic ones among the neighbours, by squared similarity; 0 without any."""
@@ -188,22 +219,31 @@ class Scorer:
         best = np.argsort(-worth, kind="stable")[:5]
         return [self.names[numbers[b]] for b in best if worth[b] > 0]
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """Score, nearest examples and terms of each text; a text seen before is not scored again."""
+        if self.model.curve is None:
+            return [(self.model.rate, [], [])] * len(texts)
+        marks = [xxh3_128_digest(t.encode("utf-8", "replace")) if t else None for t in texts]
+        found = {m: self.seen.get(m) for m in marks}
+        found[None] = self.model.rate, [], []
+        new = {m: t for m, t in zip(marks, texts, strict=True) if found[m] is None}
+        for mark, counts in zip(new, self.counts(list(new.values())), strict=True):
+            found[mark] = self._score(counts)
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[mark] = found[mark]
+        return [found[m] for m in marks]
+
     def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        return self.scores([text])[0]
+
+    def _score(self, counts: np.ndarray) -> tuple[float, list[int], list[str]]:
         model = self.model
-        if model.curve is None or not text:
+        numbers, weights = model.vector(counts)
+        near = self.index.search(numbers, weights, NEIGHBOURS) if len(numbers) else []
+        if not near:
             return model.rate, [], []
-        mark = xxh3_128_digest(text.encode("utf-8", "replace"))
-        found = self.seen.get(mark)
-        if found is None:
-            counts = self.counts(text)
-            numbers, weights = model.vector(counts)
-            near = self.index.search(numbers, weights, NEIGHBOURS) if len(numbers) else []
-            score = scored(self.vote(near), model.curve) if near else model.rate
-            found = score, [int(model.keys[i]) for _, i in near[:5]], self._shared(numbers, weights, near) if near else []
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[mark] = found
-        return found
+        return scored(self.vote(near), model.curve), [int(model.keys[i]) for _, i in near[:5]], self._shared(numbers, weights, near)
 
 
 def scored(vote: float, curve: tuple[np.ndarray, np.ndarray]) -> float:
@@ -283,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [model.vector(scorer.counts(t)) for t in batch.column(1).to_pylist()]
+            found = [model.vector(counts) for counts in scorer.counts(batch.column(1).to_pylist())]
             # examples whose heaviest terms are the same lie together, which keeps block bounds low
             heavy = [n[np.lexsort((n, -w))[:3]] for n, w in found]
             yield pa.RecordBatch.from_pydict({
@@ -331,7 +371,7 @@ def score_column(text: Column, model: Model, spark) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for series in batches:
-            yield pd.DataFrame([scorer.score(t) for t in series], columns=["score", "neighbours", "terms"])
+            yield pd.DataFrame(scorer.scores(list(series)), columns=["score", "neighbours", "terms"])
 
     return score(text.cast("string"))
 
