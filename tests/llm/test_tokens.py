@@ -53,6 +53,27 @@ def test_memory_stays_within_its_bound():
     assert len(memory) <= 3 and len(memory.old) <= 3
 
 
+def test_cuts_hold_bounded_text(library):
+    cuts = token_files.Cuts(library, 1000, most_bytes=4000)
+    for i in range(40):
+        words = [f"{'long' * 20}{i}", f"w{i}", "same", " x", "a<|endoftext|>"]
+        numbers = cuts.numbers(pa.array(words))
+        assert numbers[3] == 0 and cuts.known.nbytes < 4000 and len(cuts.known) < 5 * 40
+        for word, number in zip(words, numbers):
+            ids = library.encode(" " + word, add_special_tokens=False).ids if number else []
+            assert cuts.flat[cuts.ends[number - 1] if number else 0:cuts.ends[number]].tolist() == ids
+
+
+def test_tables_of_pairs_are_bounded_and_can_be_dropped(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 50)
+    encoder = bpe.Encoder(bpe.Vocabulary(PATH))
+    before = encoder.encode(texts := " ".join(filter(None, odd_texts()))).tolist()
+    assert 0 < len([k for k in encoder.fits if k[1] >= 0]) <= 50
+    encoder.forget()
+    assert not encoder.fits and not encoder.of_cut and not encoder.of_piece
+    assert encoder.encode(texts).tolist() == before
+
+
 def test_decoder_replaces_broken_bytes(library):
     ids = library.encode("中", add_special_tokens=False).ids[:1]
     assert bpe.tools(PATH)[1].decode(np.asarray(ids)) == library.decode(ids)

@@ -37,6 +37,7 @@ LETTERS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullm
 WHITE_SPACE = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
 REMEMBERED_CUTS = 200_000             # entries of one generation of a memory; two generations live
 REMEMBERED_PIECES = 100_000
+REMEMBERED_PAIRS = 300_000            # answers whether two tokens may stand together; full, the table starts anew
 
 
 class Memory(dict):
@@ -56,6 +57,10 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of every byte in the vocabulary file, by rule."""
@@ -129,6 +134,12 @@ class Encoder:
         self.of_piece = Memory(lambda piece: packed(self.encode_piece(piece.encode())), REMEMBERED_PIECES)
         self.of_cut = Memory(self._cut, REMEMBERED_CUTS)
 
+    def forget(self) -> None:
+        """Drop what was learned from texts. Workers outlive a stage, and these tables should not."""
+        self.fits.clear()
+        self.of_piece.forget()
+        self.of_cut.forget()
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE over the bytes of both keeps the boundary between them."""
         return self._boundary_kept(left, right, 1 << 60)
@@ -175,8 +186,9 @@ class Encoder:
                     known = fits.get((last, token))
                     if known is None:
                         known = self.compatible(last, token)
-                        if len(fits) < 2_000_000:
-                            fits[(last, token)] = known
+                        if len(fits) >= REMEMBERED_PAIRS:
+                            fits.clear()
+                        fits[(last, token)] = known
                     if known:
                         break
                 token = prefix[token]
@@ -285,13 +297,17 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = tools(path)
-        for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                ids = [encoder.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), list_array(ids), pa.array([decoder.decode(i) for i in ids], pa.string())],
-                    names=["key", "ids", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                    ids = [encoder.encode(t) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), list_array(ids), pa.array([decoder.decode(i) for i in ids], pa.string())],
+                        names=["key", "ids", "decoded"],
+                    )
+        finally:
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     narrow = docs.select(quoted(key).alias("key"), quoted(text).cast("string").alias("text"))
     schema = T.StructType([
