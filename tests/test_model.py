@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from wartalens.operators import lda
@@ -255,3 +256,19 @@ def test_stopword_files(spark, tmp_path):
     assert words("line") == ["demikian, melihat,", "rata-rata, , melihat"]
     built = build_stopwords(["  Satu ", "", None])
     assert {"satu", "yang", "wib", "jum'at"} <= set(built) and "" not in built
+
+
+def test_perplexity_is_sparks_without_its_matrix_per_document(spark, monkeypatch):
+    rows = [(i, Vectors.sparse(40, {(i * 7 + j * j) % 40: 1.0 + j % 3 for j in range(i % 9)})) for i in range(60)]
+    rows.append((60, Vectors.dense([float(j % 4) for j in range(40)])))
+    vectors = spark.createDataFrame(rows, ["doc_id", "features"])
+    model = lda.train_lda(vectors, 61, num_topics=3, passes=2)
+    spark_value = model.logPerplexity(vectors)
+
+    def refuse(*_):
+        raise AssertionError("the whole topic matrix is exponentiated for every document")
+
+    monkeypatch.setattr(type(model), "logPerplexity", refuse)
+    row = lda.perplexity(model, vectors).first()
+    assert row["log_perplexity"] == pytest.approx(spark_value, rel=1e-3)
+    assert row["log_bound_per_word"] == -row["log_perplexity"]
