@@ -109,3 +109,34 @@ def test_html(spark):
 
 def test_url_title(spark):
     assert one(spark, url_title(F.lit("https://x.id/a/harga-bbm-naik2x?p=1"))) == "Harga Bbm Naik2X?P=1"
+
+
+def test_run_patterns_match_as_the_plain_rules(spark):
+    """The row expressions' patterns replace what the published ones do, at word edges and in mixed case too."""
+    pieces = ["&NBSP;", "&amp;", "&&lt;", "&gt", "&mdash;x", "br", "abr", "BR.", "strong-", "_div", "spań", "́nbsp", "HTTPS://a.b/c",
+              "http:/x", "hwww.x", "WWW.", "www. z", "http://", "Pukul 21.30 WIB", "pukul9:05wib", "109:30 wib", "p10-05 WIBx", "pukulpukul 1.22 wib",
+              "‼", "‍", "​", "\U0001f600", "ℹx", "é\U000e0041", "Ⓜ", "–"]
+    texts = [f"{a}{gap}{b}" for a in pieces for b in pieces for gap in ("", " ")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda pattern: F.regexp_replace("t", pattern, "_")
+    pairs = [
+        (text.RUN_URL, "(?i)" + text.URL), (text.RUN_ENTITIES, "(?i)" + "|".join(text.ENTITIES)), (text.RUN_CLOCK, "(?i)" + text.CLOCK),
+        (text.RUN_HTML_WORDS, r"(?i)\b(?:" + "|".join(text.HTML_WORDS) + r")\b"), (text.RUN_EMOJI, text.EMOJI)]
+    for run, published in pairs:
+        rows = df.select("t", plain(run).alias("run"), plain(published).alias("published")).collect()
+        assert [r["t"] for r in rows if r["run"] != r["published"]] == []
+        assert any(r["t"] != r["run"] for r in rows)
+
+
+def test_texts_without_signs_skip_their_replacements(spark):
+    """Folding is the same for every sign, script and mark, alone and beside letters that are only translated."""
+    signs = [*text.SIGN_FOLDS, *list(text.LONG_FOLDS)[:20], "ж", "λ", "é", "҃", "é", "–", "中", "a"]
+    df = spark.createDataFrame([(f"{a}é{b}",) for a in signs for b in signs], "t string")
+
+    def whole(column):
+        out = F.translate(column, text.FOLD_FROM, text.FOLD_TO)
+        for sign, spelling in (text.SIGN_FOLDS | text.LONG_FOLDS).items():
+            out = F.replace(out, F.lit(sign), F.lit(spelling))
+        return F.regexp_replace(out, text.COMBINING, "")
+
+    assert df.filter(~text.fold_unicode("t").eqNullSafe(whole(F.col("t")))).count() == 0
