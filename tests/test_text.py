@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wartalens.functions import stemming, text
+from tests.conftest import plan_of
+from wartalens.functions import batches, stemming, text
+from wartalens.functions.arrays import run_lengths
 from wartalens.functions.html import decode_entities, extract_article, url_title
 from wartalens.functions.stemming import stem_word
-from wartalens.functions.tokens import preprocess_text, stem_tokens, tokenize
+from wartalens.functions.tokens import preprocess_text, remove_stopwords, stem_tokens, tokenize
 
 
 def one(spark, column):
@@ -140,3 +142,27 @@ def test_texts_without_signs_skip_their_replacements(spark):
         return F.regexp_replace(out, text.COMBINING, "")
 
     assert df.filter(~text.fold_unicode("t").eqNullSafe(whole(F.col("t")))).count() == 0
+
+
+@pytest.mark.parametrize("limit", [8, 8 * 2**20])
+def test_steps_on_distinct_tokens_give_what_they_give_on_every_token(spark, monkeypatch, limit):
+    monkeypatch.setattr(batches, "SLICE_BYTES", limit)
+    texts = ["Memperjuangkan pasar-pasar, dan Pasarnya pukul 21.30 WIB", None, "", " . ", "a ib\nib\tdiberikan 2x makanan", "kata Katanya 😀 Straße жук"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    words, options = ["dan", "kata"], {"protected": ["memperjuangkan"], "overrides": {"makanan": "santap"}}
+    steps = remove_stopwords(stem_tokens(remove_stopwords(tokenize(text.base_clean("t")), words), **options), words)
+    together = rows.select(preprocess_text("t", words, **options).alias("together"), steps.alias("steps"))
+    found = together.collect()
+    assert [r["together"] for r in found] == [r["steps"] for r in found]
+    assert found[0]["steps"] == ["memperjuangkan", "pasar", "pasar", "pasar"] and found[4]["steps"] == ["ib", "ib", "beri", "santap"]
+    alone = rows.select(preprocess_text("t", words, **options).alias("x"))
+    assert "ArrowEvalPython" in plan_of(alone) and "isin" not in plan_of(alone) and "meny" not in plan_of(alone)
+
+
+@pytest.mark.parametrize("limit", [8, 8 * 2**20])
+def test_counts_of_a_slice_stay_with_their_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(batches, "SLICE_BYTES", limit)
+    lists = [["b", "a", "b"], [], None, ["c", None, "c"], ["é", "z", "z"], ["b"]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, t array<string>").coalesce(1)
+    found = {r["i"]: [tuple(x) for x in r["n"]] for r in rows.select("i", run_lengths("t").alias("n")).collect()}
+    assert found == {0: [("a", 1), ("b", 2)], 1: [], 2: [], 3: [(None, 1), ("c", 2)], 4: [("z", 2), ("é", 1)], 5: [("b", 1)]}
