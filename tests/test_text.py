@@ -166,3 +166,12 @@ def test_counts_of_a_slice_stay_with_their_rows(spark, monkeypatch, limit):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, t array<string>").coalesce(1)
     found = {r["i"]: [tuple(x) for x in r["n"]] for r in rows.select("i", run_lengths("t").alias("n")).collect()}
     assert found == {0: [("a", 1), ("b", 2)], 1: [], 2: [], 3: [(None, 1), ("c", 2)], 4: [("z", 2), ("é", 1)], 5: [("b", 1)]}
+
+
+@pytest.mark.parametrize("gap", ["", " "])
+def test_one_table_folds_as_emoji_and_unicode_rules_in_turn(spark, gap):
+    codes = [c for c in [*range(1, 0x3400), *range(0xFB00, 0xFB10), *range(0xFE00, 0xFE10), *range(0x1F000, 0x1FB00), *range(0xE0010, 0xE0090)]]
+    rows = spark.createDataFrame([(f"a{chr(c)}b" + ("é\U0001f600" if c % 2 else ""),) for c in codes] + [(None,), ("",)], "t string")
+    in_turn = text.fold_unicode(text.strip_emoji("t", gap))
+    assert rows.filter(~text.fold_signs("t", gap).eqNullSafe(in_turn)).count() == 0
+    assert "ArrowEvalPython" in plan_of(rows.select(text.base_clean("t")))
