@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
+from wartalens.functions import batches
 from wartalens.operators import coherence, dictionary, document_topics, relevance, topics
 
 EPS = 1e-12
@@ -179,3 +180,19 @@ def test_saliency_and_relevance(spark):
     want = 0.3 * np.log(matrix) + 0.7 * np.log(matrix / p_term)
     assert [r["relevance"] for r in rel] == pytest.approx(want.max(axis=1).tolist())
     assert F is not None
+
+
+@pytest.mark.parametrize("limit", [8, 8 * 2**20])
+def test_terms_are_summed_over_slices_and_keep_their_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(batches, "SLICE_BYTES", limit)
+    lists = [(1, ["b", "a", "b"]), (1, ["b"]), (None, ["a", "é"]), (2, []), (3, None), (4, ["x"])]
+    docs = spark.createDataFrame(lists, "doc_id long, tokens array<string>").coalesce(1)
+    frequencies = dictionary.doc_frequency(docs)
+    assert sorted(map(tuple, frequencies.collect())) == [("a", 2, 2), ("b", 2, 3), ("x", 1, 1), ("é", 1, 1)]
+    vocab = spark.createDataFrame([(0, "b"), (1, "a"), (2, "é")], "term_id long, term string")
+    found = dictionary.doc2bow(docs, vocab)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(
+        map(str, [(1, 1, "a", 1), (1, 0, "b", 2), (1, 0, "b", 1), (None, 1, "a", 1), (None, 2, "é", 1)]))
+    nested = dictionary.doc2bow(docs.select(F.struct("doc_id").alias("doc"), "tokens"), vocab, key="doc")
+    assert nested.columns == ["doc", "term_id", "term", "tf"] and nested.filter("doc.doc_id = 1").count() == 3
+    assert "MapInArrow" in plan_of(frequencies) and "Generate" not in plan_of(found)
