@@ -196,3 +196,16 @@ def test_terms_are_summed_over_slices_and_keep_their_documents(spark, monkeypatc
     nested = dictionary.doc2bow(docs.select(F.struct("doc_id").alias("doc"), "tokens"), vocab, key="doc")
     assert nested.columns == ["doc", "term_id", "term", "tf"] and nested.filter("doc.doc_id = 1").count() == 3
     assert "MapInArrow" in plan_of(frequencies) and "Generate" not in plan_of(found)
+
+
+@pytest.mark.parametrize("limit", [8, 8 * 2**20])
+def test_documents_of_a_key_are_counted_together(spark, monkeypatch, limit):
+    """A slice gives one row for each key and term, whatever the number of documents; sums stay."""
+    monkeypatch.setattr(batches, "SLICE_BYTES", limit)
+    lists = [("x", ["b", "a", "b"]), ("y", ["a"]), (None, ["b"]), ("x", ["a", "zz"]), ("x", None), (None, ["b", "b"]), ("y", [])]
+    docs = spark.createDataFrame(lists, "lang string, tokens array<string>").coalesce(1)
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "term_id long, term string")
+    found = dictionary.doc2bow(docs, vocab, key="lang", together=True)
+    summed = {(r["lang"], r["term_id"], r["term"]): r["tf"] for r in found.groupBy("lang", "term_id", "term").agg(F.sum("tf").alias("tf")).collect()}
+    assert summed == {("x", 0, "a"): 2, ("x", 1, "b"): 2, ("y", 0, "a"): 1, (None, 1, "b"): 3}
+    assert found.count() == (4 if limit > 8 else 6)
