@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import plan_of
 from wartalens.functions import batches
 from wartalens.operators import coherence, dictionary, document_topics, relevance, topics
+from workload import views
 
 EPS = 1e-12
 
@@ -209,3 +210,22 @@ def test_documents_of_a_key_are_counted_together(spark, monkeypatch, limit):
     summed = {(r["lang"], r["term_id"], r["term"]): r["tf"] for r in found.groupBy("lang", "term_id", "term").agg(F.sum("tf").alias("tf")).collect()}
     assert summed == {("x", 0, "a"): 2, ("x", 1, "b"): 2, ("y", 0, "a"): 1, (None, 1, "b"): 3}
     assert found.count() == (4 if limit > 8 else 6)
+
+
+def test_topic_sizes_read_the_words_of_the_documents_once(spark, monkeypatch):
+    asked = []
+    counted = views.doc2bow
+    monkeypatch.setattr(views, "doc2bow", lambda *args, **options: asked.append(options.get("key", "doc_id")) or counted(*args, **options))
+    rows = [(1, "x", ["a", "a", "b"]), (2, "y", ["b", "c", "none"]), (2, "x", ["a"]), (3, "y", []), (4, "y", ["c"])]
+    model = views.Surrogate.__new__(views.Surrogate)
+    model.docs = spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>")
+    model.vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "term_id long, term string")
+    model.languages = ["x", "y"]
+    phi = {"a": (3 / 4, 0), "b": (1 / 4, 1 / 3), "c": (0, 2 / 3)}
+    words = {1: ["a", "a", "b"], 2: ["b", "c", "a"], 4: ["c"]}
+    expected = [0.0, 0.0]
+    for terms in words.values():
+        shares = [sum(phi[t][i] for t in terms) for i in range(2)]
+        expected = [e + len(terms) * round(s / sum(shares), 9) for e, s in zip(expected, shares)]
+    assert {r["topic_id"]: r["weight"] for r in model.sizes.collect()} == pytest.approx(dict(enumerate(expected)))
+    assert sorted(asked) == ["doc_id", "lang"]
