@@ -272,3 +272,85 @@ def test_perplexity_is_sparks_without_its_matrix_per_document(spark, monkeypatch
     row = lda.perplexity(model, vectors).first()
     assert row["log_perplexity"] == pytest.approx(spark_value, rel=1e-3)
     assert row["log_bound_per_word"] == -row["log_perplexity"]
+
+
+def small_vectors(spark):
+    """Repeated, empty and long documents; a dense vector, and counts that are no whole numbers."""
+    rows = [(i, Vectors.sparse(40, {(i * 7 + j * j) % 40: 1.0 + (j * i) % 300 for j in range(i % 9)})) for i in range(80)]
+    rows += [(80, Vectors.dense([float(j % 4) for j in range(40)])), (81, Vectors.sparse(40, [3, 5], [0.0, 2.5])), (82, Vectors.sparse(40, [], []))]
+    return spark.createDataFrame(rows + rows[:20], ["doc_id", "features"])
+
+
+def test_documents_are_fitted_in_batches(spark, monkeypatch):
+    """Spark's loop over single documents is not taken; topics are found, and one update's draws are whole."""
+    def refuse(*_):
+        raise AssertionError("documents are fitted one by one")
+
+    monkeypatch.setattr(lda.SparkLDA, "_fit", refuse)
+    docs = spark.createDataFrame([(i, r[5].split()) for i, r in enumerate(planted(60))], "doc_id long, tokens array<string>")
+    terms = sorted({w for t in THEMES for w in t})
+    model = lda.train_lda(lda.training_vectors(bow_vectors(docs, terms), 60), 60, num_topics=2, passes=10)
+    found = {frozenset(terms[i] for i in row["termIndices"]) for row in model.describeTopics(8).collect()}
+    assert found == {frozenset(theme) for theme in THEMES}
+    fitted = lda.fit_grid(bow_vectors(docs, terms), 60, (2, 3), passes=10)
+    assert [(k, m.vocabSize()) for k, m, _ in fitted] == [(2, 16), (3, 16)]
+    assert (fitted[0][1].topicsMatrix().toArray() == model.topicsMatrix().toArray()).all()
+
+
+def test_one_update_adds_every_drawn_word(spark):
+    """The sums of an update are the words drawn: with all weights alike, each word's sum is its count over its document's draws."""
+    import numpy as np
+
+    packed = lda.packed_documents(small_vectors(spark).coalesce(1))
+    weights, alpha = np.ones((3, 40)), np.ones(3)
+    sums = lda.LDA._sums(packed, weights, alpha, 1.0, [42, 1])
+    sizes = np.frombuffer(packed.first()["sizes"], np.int32)
+    drawn = np.random.default_rng([42, 1, 0, 0]).poisson(1.0, len(sizes))
+    expected = np.zeros(40)
+    for times, row in zip(drawn, small_vectors(spark).coalesce(1).collect()):
+        expected += times * row["features"].toArray()
+    assert len(sizes) == 103 and sums.sum(axis=0) == pytest.approx(expected)
+    assert lda.LDA._sums(packed, weights, alpha, 0.0, [42, 1]) is None
+
+
+def test_packed_documents_hold_every_count(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lda, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(lda, "BLOCK_ENTRIES", 20)
+    vectors = small_vectors(spark).repartition(3)
+    got = []
+    for block in lda.packed_documents(vectors).collect():
+        sizes, words = np.frombuffer(block["sizes"], np.int32), np.frombuffer(block["words"], np.int32)
+        counts = np.frombuffer(block["counts"], np.uint8 if len(block["counts"]) == len(words) else np.float64)
+        assert block["size"] == 40 and len(sizes) <= 7 and sizes.sum() == len(words) and (len(sizes) == 1 or len(words) <= 20)
+        for size, end in zip(sizes, np.cumsum(sizes)):
+            got.append(tuple(zip(words[end - size:end].tolist(), counts[end - size:end].tolist())))
+    rows = [r["features"].toArray() for r in vectors.collect()]
+    assert sorted(got) == sorted(tuple((int(i), float(x[i])) for i in np.flatnonzero(x)) for x in rows)
+
+
+def test_shares_are_sparks_and_scored_in_batches(spark, monkeypatch):
+    vectors = small_vectors(spark)
+    model = lda.train_lda(vectors, 103, num_topics=3, passes=3)
+    key = lambda r: (r["doc_id"], r["theta"])
+    by_spark = sorted((r["doc_id"], r["topicDistribution"].toArray().tolist()) for r in model.transform(vectors).collect())
+
+    def refuse(*_):
+        raise AssertionError("documents are scored one by one")
+
+    monkeypatch.setattr(type(model), "transform", refuse)
+    rows = lda.theta_table(model, vectors).collect()
+    assert {r["doc_id"] for r in rows if not r["known"]} == {i for i, theta in by_spark if not any(theta)}
+    for (a, mine), (b, theirs) in zip(sorted(map(key, rows)), by_spark):
+        assert a == b and (not any(theirs) or mine == pytest.approx(theirs, abs=2e-3))
+
+
+def test_phi_table_is_the_described_topics(spark):
+    model = lda.train_lda(small_vectors(spark), 103, num_topics=3, passes=1)
+    vocab = spark.createDataFrame([(i, f"w{i}") for i in range(39)] + [(50, "beyond"), (None, "none")], "term_id long, term string")
+    got = {(r["topic_id"], r["term_id"]): (r["term"], r["prob"]) for r in lda.phi_table(model, vocab).collect()}
+    assert set(got) == {(k, i) for k in range(3) for i in range(39)}
+    for row in model.describeTopics(40).collect():
+        for i, prob in zip(row["termIndices"], row["termWeights"]):
+            assert i == 39 or got[row["topic"], i] == (f"w{i}", pytest.approx(prob))
